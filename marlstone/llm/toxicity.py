@@ -134,11 +134,10 @@ class Scorer:
 
 
 def statistic(n: int, found: list[float], rate: float) -> float:
-    """How rare a text's segments are: the logarithm of the sum of 1 / (K n exp(-rate S)), where a
-    text without any counts as one segment of score 0."""
-    top = max(found, default=0.0) * rate
-    rest = math.exp(-top) + sum(math.exp(s * rate - top) for s in found)
-    return top + math.log(rest) - math.log(K * max(n, 1))
+    """How rare a text's segments are: log(1 + sum of 1 / (K n exp(-rate S))); 0 without any."""
+    base = math.log(K * max(n, 1))
+    top = max(0.0, max(found, default=0.0) * rate - base)
+    return top + math.log(math.exp(-top) + sum(math.exp(s * rate - base - top) for s in found))
 
 
 #: Bins of token scores, from LOW - DRIFT to HIGH.
