@@ -103,8 +103,8 @@ WITH d AS (SELECT doc_id, source, len({WORDS % "text"})::BIGINT AS size, md5(doc
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
 o AS (SELECT *, (3 * source_size)::DOUBLE AS cap, (total - coalesce(sum((3 * source_size)::DOUBLE) OVER (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n),
-l AS (SELECT *, min(CASE WHEN cap > level * w THEN 3.0 * source_size / w END) OVER () AS at FROM o),
-v AS (SELECT *, max(CASE WHEN 3.0 * source_size / w = at THEN level END) OVER () AS rest FROM l),
+l AS (SELECT *, min(CASE WHEN cap > level * w THEN 3.0 * source_size / w END) OVER () AS stop FROM o),
+v AS (SELECT *, max(CASE WHEN 3.0 * source_size / w = stop THEN level END) OVER () AS rest FROM l),
 g AS (SELECT source, source_size, CASE WHEN cap <= level * w THEN cap ELSE rest * w END AS target FROM v),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(least(target / source_size, 3.0)) ELSE 0 END::BIGINT AS whole FROM g),
 c AS (SELECT d.*, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS up FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
