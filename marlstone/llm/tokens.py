@@ -15,8 +15,8 @@ rows are blocks of whole documents in ascending order of doc_id, and each shard
 The ranks' table lies beside the files. Spark's writer commits whole files, so a lost executor
 costs its unfinished file only. Decoding is a table lookup: 256 rows of four lengths.
 
-The tokenizer works on each distinct run between white spaces once (white space always separates
-its words), so encoding is a lookup as well.
+Texts are cut into pieces with numpy as the tokenizer's pattern cuts them; its model works on each
+distinct piece once, so encoding is a lookup as well. A piece is known by a 64-bit hash.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come first; rows with the
 same doc_id follow each other in order of their texts; an empty table gives no rows; other columns
@@ -26,8 +26,9 @@ are ignored.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,49 +36,183 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BINARY, INT, LONG, forget, materialize, new_path, release, schema
+from marlstone.llm.common import BINARY, INT, LONG, SPACE_BYTES, forget, materialize, new_path, release, schema, text_views, word_bounds
+from marlstone.llm.rolling import BASE, SPREAD, slices
 
 #: The id that ends each document.
 END = 2
-#: Ids of a block after which the next document starts a new one, and distinct words kept.
-BLOCK, CACHE = 500_000, 500_000
+#: Ids of a block after which the next documents start a new one, distinct pieces kept, and bytes
+#: of text encoded at a time.
+BLOCK, CACHE, CHUNK = 250_000, 400_000, 1 << 20
 #: Bytes of text that a shard gets on average.
 SHARD = 32_000_000
 
 
+# Classes of bytes, by which words are cut as the tokenizer's pattern cuts them: runs of letters,
+# single numbers, runs of other characters. It is done here for printable characters below U+0100;
+# words with any other, with an apostrophe (contractions) or with "<|" (special tokens) are HARD
+# and go through the tokenizer whole.
+LETTER, NUMBER, OTHER, HARD = 1, 2, 3, 4
+ONE = np.full(256, HARD, np.uint8)
+ONE[0x21:0x7F] = OTHER
+ONE[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+ONE[0x30:0x3A] = NUMBER
+ONE[0x27] = HARD
+#: Classes of the characters that C2 and C3 begin, by the lead's last bit and the second byte.
+TWO = np.full(512, HARD, np.uint8)
+TWO[0xA1:0xC0] = OTHER
+TWO[0xAD] = HARD
+TWO[[0xAA, 0xB5, 0xBA]] = LETTER
+TWO[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = NUMBER
+TWO[256 + 0x80 : 256 + 0xC0] = LETTER
+TWO[[256 + 0x97, 256 + 0xB7]] = OTHER
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+#: Bytes that the byte alphabet does not spell as the character of their number: it takes the next
+#: free ones from U+0100, in order.
+PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SPELLING = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, cut: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of several texts with pieces in lower case, starts and ends of pieces, and which
+    are whole HARD words (left as they are). Without ``cut`` all words are."""
+    starts, ends, _ = word_bounds(data, offsets)
+    n = len(data)
+    after = np.zeros(n, np.uint8)
+    after[:-1] = data[1:]
+    kind = ONE[data]
+    lead = (data & 0xFE) == 0xC2
+    kind[lead] = TWO[(data[lead] & 1).astype(np.int64) * 256 + after[lead]]
+    second = np.zeros(n, bool)
+    second[1:] = lead[:-1]
+    kind[1:][lead[:-1]] = kind[:-1][lead[:-1]]
+    hard = ((kind == HARD) & ~SPACE_BYTES[data]) | ((data == 0x3C) & (after == 0x7C))
+    sums = np.zeros(n + 1, np.int64)
+    np.cumsum(hard, out=sums[1:])
+    hard_word = sums[ends] > sums[starts] if cut else np.ones(len(starts), bool)
+    steps = np.zeros(n + 1, np.int8)
+    steps[starts[hard_word]] += 1
+    steps[ends[hard_word]] -= 1
+    in_hard = np.cumsum(steps[:n], dtype=np.int8) > 0
+    begins = np.zeros(n, bool)
+    begins[1:] = ~SPACE_BYTES[data[1:]] & ~in_hard[1:] & ((kind[1:] != kind[:-1]) | ((kind[1:] == NUMBER) & ~second[1:]))
+    begins[starts] = True
+    at = np.flatnonzero(begins)
+    word = np.searchsorted(starts, at, "right") - 1
+    until = np.append(at[1:], n)
+    until = np.minimum(until, ends[word])
+    low = LOWER[data]
+    upper = np.zeros(n, bool)
+    upper[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low[upper] += 0x20
+    return np.where(in_hard, data, low), at, until, hard_word[word]
+
+
 class Encoder:
-    """Ids of texts by the tokenizer of a file, with a table of words already seen."""
+    """Ids of texts by the tokenizer of a file, with a table of pieces already seen."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None], end: int = END) -> list[np.ndarray]:
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.model = self.tokenizer.model
+        self.clear()
+        self.cut = True
+        self.cut = self._cuts_alike()
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all pieces but the end id, which has place 0."""
+        self.places: dict[int, int] = {}
+        self.flat = np.array([self.end], np.uint32)
+        self.begin, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.rows = 1
+
+    def _cuts_alike(self) -> bool:
+        """Whether pieces and model agree with the tokenizer on words that tell other cuts."""
+        probes = ["don't", "WE'LL", "a1b22", "x--y", "\u00c9t\u00e9", "\u00b5m\u00b2", "(foo).", "na\u00efve\u00bf", "``a''"]
+        whole = [[*self.tokenizer.encode(w, add_special_tokens=False).ids, self.end] for w in probes]
+        return [self.encode([w])[0].tolist() for w in probes] == whole
+
+    def _learn(self, keys: list[int], found: list[bytes], hard: list[bool]) -> np.ndarray:
+        """Enters pieces, and their places."""
+        ids, sizes = [], []
+        model, tokenizer = self.model.tokenize, self.tokenizer.encode
+        for piece, whole in zip(found, hard, strict=True):
+            if whole:
+                new = tokenizer(piece.decode(), add_special_tokens=False).ids
+            else:
+                new = [t.id for t in model(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(SPELLING))]
+            ids += new
+            sizes.append(len(new))
+        places = np.arange(self.rows, self.rows + len(keys))
+        self.places.update(zip(keys, places.tolist(), strict=True))
+        ends = len(self.flat) + np.cumsum(sizes, dtype=np.int64)
+        self.begin = np.concatenate([self.begin, ends - np.array(sizes, np.int64)])
+        self.count = np.concatenate([self.count, np.array(sizes, np.int64)])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.rows += len(keys)
+        return places
+
+    def encode_views(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts, each with the end id, and their numbers."""
+        if self.rows > CACHE:
+            self.clear()
+        low, starts, ends, hard = pieces(data, offsets, self.cut)
+        keys, first, which = np.unique(slices(SPREAD[low], starts, ends, BASE), return_index=True, return_inverse=True)
+        get = self.places.get
+        places = np.array([get(k, -1) for k in keys.tolist()], np.int64)
+        text = low.tobytes()
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            f = first[new]
+            found = [text[a:b] for a, b in zip(starts[f].tolist(), ends[f].tolist(), strict=True)]
+            places[new] = self._learn(keys[new].tolist(), found, hard[f].tolist())
+        closes = np.searchsorted(starts, offsets[1:])
+        place = np.insert(places[which], closes, 0)
+        count = self.count[place]
+        up_to = np.cumsum(count)
+        ids = self.flat[np.repeat(self.begin[place] - up_to + count, count) + np.arange(up_to[-1] if len(up_to) else 0)]
+        return ids, np.diff(up_to[closes + np.arange(len(closes))], prepend=0)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        split = [(t or b"").split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, last = self.known, end.to_bytes(4, "little")
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), last]), "<u4") for words in split]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        out = []
+        for _, _, data, offsets in text_views(batch, "text", CHUNK):
+            ids, sizes = self.encode_views(data, offsets)
+            out += np.split(ids, np.cumsum(sizes)[:-1])
+        return out
+
+
+def encoder(path: str, end: int) -> Encoder:
+    """The encoder that the tasks of a worker process share."""
+    shared = sys.modules.setdefault("marlstone_encoders", types.ModuleType("marlstone_encoders"))
+    found = shared.__dict__.get((path, end))
+    if found is None:
+        found = shared.__dict__[path, end] = Encoder(path, end)
+    return found
 
 
 COUNTS = schema(id=INT, n=LONG)
 
 
+def raw_ids(row: pa.RecordBatch) -> np.ndarray:
+    """The ids of one raw block, two or four bytes each. Blocks are taken one at a time, as a
+    batch can hold a whole file of them."""
+    data = row.column("data")[0].as_buffer()
+    n = np.frombuffer(row.column("lengths")[0].as_buffer(), "<i4").sum(dtype=np.int64)
+    return np.frombuffer(data, f"<u{max(data.size // max(n, 1), 1)}")
+
+
 def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each id occurs in the raw blocks of a task."""
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for x in batch.column("data").to_pylist():
-            n = np.bincount(np.frombuffer(x, "<u4"))
+        for k in range(batch.num_rows):
+            n = np.bincount(raw_ids(batch.slice(k, 1)))
             if len(n) < len(counts):
                 n, counts = counts, n
             n[: len(counts)] += counts
@@ -121,33 +256,32 @@ BLOCKS = schema(shard=INT, block=INT, start=LONG, doc_ids=BINARY, valid=BINARY,
 
 
 def to_blocks(path: str, end: int):
-    """Rows of one shard in order become its blocks, with raw ids (uint32) in place of codes."""
+    """Rows of one shard in order become its blocks, with raw ids in place of codes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encode = encoder(path, end).encode_views
         shard = TaskContext.get().partitionId()
         block = start = held = 0
-        docs, parts = [], []
+        docs, valid, sizes, parts = [], [], [], []
 
         def emit() -> pa.RecordBatch:
-            valid = bytes(d is not None for d in docs)
-            ids = np.array([d or 0 for d in docs], "<i8").tobytes()
-            row = (shard, block, start, ids, valid, np.array([len(p) for p in parts], "<i4").tobytes(), b"", np.concatenate(parts).tobytes())
+            columns = [np.concatenate(x) for x in (docs, valid, sizes, parts)]
+            row = (shard, block, start, *(x.astype(k).tobytes() for x, k in zip(columns[:3], ("<i8", "u1", "<i4"), strict=True)), b"", columns[3].astype("<u2" if columns[3].max() < 1 << 16 else "<u4").tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, KINDS, strict=True)], names=BLOCKS.names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist(), end), strict=True):
-                    docs.append(doc)
-                    parts.append(ids)
-                    held += len(ids)
-                    if held >= BLOCK:
-                        yield emit()
-                        block, start, held = block + 1, start + held, 0
-                        docs, parts = [], []
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for row, stop, data, offsets in text_views(batch, "text", CHUNK):
+                for x, new in zip((docs, valid, parts, sizes), (ids[row:stop], known[row:stop], *encode(data, offsets)), strict=True):
+                    x.append(new)
+                held += len(parts[-1])
+                if held >= BLOCK:
+                    yield emit()
+                    block, start, held = block + 1, start + held, 0
+                    docs, valid, sizes, parts = [], [], [], []
         if docs:
             yield emit()
 
@@ -165,9 +299,10 @@ def to_codes(ranked: bytes):
         ranks = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
         ranks[order] = np.arange(len(order), dtype=np.uint32)
         for batch in batches:
-            codes = [pack(ranks[np.frombuffer(x, "<u4")]) for x in batch.column("data").to_pylist()]
-            columns = [*batch.columns[:6], *(pa.array([c[k] for c in codes], pa.binary()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=BLOCKS.names)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                codes = pack(ranks[raw_ids(row)])
+                yield pa.RecordBatch.from_arrays([*row.columns[:6], *(pa.array([c], pa.binary()) for c in codes)], names=BLOCKS.names)
 
     return scan
 
@@ -186,7 +321,8 @@ def to_documents(ranked: bytes, before: dict[int, int]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(ranked, "<u4")
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 docs, lengths, ids = decode(row, order)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
@@ -201,13 +337,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> None:
     """Writes the files of (doc_id, text) and the ranks' table under ``folder``. Texts are encoded
     once; the ids wait in a table until all are counted. A vocabulary bounds what is counted."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, int(size) // SHARD)
     sorted_ = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     raw = materialize(sorted_.mapInArrow(to_blocks(tokenizer, end), BLOCKS), "raw")
     release(spark)
-    counted = raw.select("data").mapInArrow(count_ids, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = raw.select("lengths", "data").mapInArrow(count_ids, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = np.array([r.id for r in sorted(counted, key=lambda r: (-r.n, r.id))], "<u4")
     raw.mapInArrow(to_codes(order.tobytes()), BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/ids")
     spark.createDataFrame([(order.tobytes(),)], schema(ids=BINARY)).coalesce(1).write.parquet(f"{folder}/ranks")
