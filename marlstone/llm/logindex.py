@@ -29,15 +29,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BINARY, INT, LONG, STRING, forget, materialize, release, schema, text_views, word_bounds
+from marlstone.llm.common import BINARY, INT, LONG, STRING, materialize, release, schema, text_views, word_bounds
 from marlstone.llm.rolling import BASE, SPREAD, WORD_BASE, slices, windows
 
 #: Words of a window.
 WIDTH = 13
 #: Bytes of text hashed at a time, and windows that a task sorts at a time.
-CHUNK, FLUSH = 1 << 20, 2_000_000
+CHUNK, FLUSH = 1 << 19, 1_000_000
 #: Windows and bytes of text that a bucket of the index or of documents gets on average.
-PER_BUCKET, TEXT_PER_BUCKET = 1_000_000, 8_000_000
+PER_BUCKET, TEXT_PER_BUCKET = 400_000, 6_000_000
+#: Entries of one row of a run: rows of a few megabytes keep Spark's buffers small.
+PER_ROW = 200_000
 #: Batches of deduplicate().
 BATCHES = 3
 NONE = np.iinfo(np.int64).max
@@ -94,9 +96,25 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(b), *parts
 
 
+def hit_row(bucket: int, docs: np.ndarray, sources: np.ndarray, keys: np.ndarray) -> tuple:
+    """Hits by document, packed. A hash's lower half is enough to mark a window in its document:
+    what is marked is verified word by word."""
+    order = np.lexsort((sources, docs))
+    docs, sources = docs[order], sources[order]
+    steps = pack_sorted(docs.view(np.uint64))
+    return bucket, HIT, keys[order].astype("<u4").tobytes(), steps, pack_ids(sources)
+
+
 def hit_rows(docs: np.ndarray, sources: np.ndarray, keys: np.ndarray, document_buckets: int) -> Iterator[tuple]:
     for b, d, s, k in by_bucket(spread(docs, document_buckets), docs, sources, keys):
-        yield b, HIT, pack(k), pack_ids(d), pack_ids(s)
+        yield hit_row(b, d, s, k)
+
+
+def unpack_hits(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, sources and halves of hashes of some rows of hits."""
+    docs = np.concatenate([np.zeros(0, np.int64), *(unpack_sorted(x).view(np.int64) for x in rows["docs"])])
+    sources = np.concatenate([np.zeros(0, np.int64), *(unpack_ids(x) for x in rows["sources"])])
+    return docs, sources, np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, "<u4") for x in rows["keys"])])
 
 
 def spread(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -162,12 +180,20 @@ def merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], docs[order]
 
 
+def run_rows(bucket: int, keys: np.ndarray, docs: np.ndarray) -> list[tuple]:
+    """A bucket of a run: entries in order, a few rows."""
+    cuts = range(0, len(keys), PER_ROW)
+    return [(bucket, ENTRY, pack_sorted(keys[a : a + PER_ROW]), pack_ids(docs[a : a + PER_ROW]), None) for a in cuts]
+
+
 def to_run(document_buckets: int):
     """Merge-joins the entries of a batch in one bucket with those of the runs: hits, and a run of
     what the runs lack."""
 
     def join(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        local = batch["kind"] == HIT
+        out = list(batch[local].itertuples(index=False, name=None))
+        batch = batch[~local]
         if not batch.empty:
             bucket = int(batch["bucket"].iloc[0])
             keys, docs = merged(batch)
@@ -183,23 +209,32 @@ def to_run(document_buckets: int):
             source = source[np.cumsum(new) - 1]
             hit = docs > source
             out += hit_rows(docs[hit], source[hit], keys[hit], document_buckets)
-            if not known.all():
-                out.append((bucket, ENTRY, pack_sorted(keys[first][~known]), pack_ids(docs[first][~known]), None))
+            out += run_rows(bucket, keys[first][~known], docs[first][~known])
         return pd.DataFrame(out, columns=ENTRIES.names)
 
     return join
 
 
 def compacted(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-    """One run of two: the smallest document of each hash."""
+    """One run of two: the smallest document of each hash, and the hits of both."""
     rows = pd.concat([x for x in (one, two) if not x.empty])
-    keys, docs = merged(rows)
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return pd.DataFrame([(int(rows["bucket"].iloc[0]), ENTRY, pack_sorted(keys[new]), pack_ids(docs[new]), None)], columns=ENTRIES.names)
+    bucket, hits = int(rows["bucket"].iloc[0]), rows[rows["kind"] == HIT]
+    out = [hit_row(bucket, *unpack_hits(hits))] if len(hits) else []
+    keys, docs = merged(rows[rows["kind"] == ENTRY])
+    if len(keys):
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        out += run_rows(bucket, keys[new], docs[new])
+    return pd.DataFrame(out, columns=ENTRIES.names)
+
+
+def gathered(rows: pd.DataFrame) -> pd.DataFrame:
+    """The hits of one bucket of documents in one row."""
+    return pd.DataFrame([hit_row(int(rows["bucket"].iloc[0]), *unpack_hits(rows))], columns=ENTRIES.names)
 
 
 class FingerprintIndex:
-    """Runs of window hashes in tables of the warehouse, ``buckets`` files each."""
+    """Runs of window hashes in tables of the warehouse, ``buckets`` files each. A run also holds
+    the hits of the batches that made it, by bucket of documents."""
 
     def __init__(self, spark: SparkSession, buckets: int, document_buckets: int, width: int = WIDTH):
         self.spark, self.width, self.document_buckets = spark, width, document_buckets
@@ -215,41 +250,38 @@ class FingerprintIndex:
         rows.write.format("parquet").option("compression", "uncompressed").bucketBy(self.buckets, "bucket").sortBy("bucket").saveAsTable(name)
         return name
 
-    def _entries(self, names: list[str]) -> DataFrame:
-        """The entries of runs. A single run keeps its buckets; more are brought together."""
-        tables = [self.spark.read.table(n).where(F.col("kind") == ENTRY) for n in names]
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.union(t)
-        return out
-
-    def ingest(self, docs: DataFrame) -> DataFrame:
-        """Takes in (doc_id, text) and returns its hits (bucket of documents, packed). The ids must
-        be larger than those taken in before for a hit to mean a smaller doc_id."""
-        entries = materialize(docs.select("doc_id", "text").mapInArrow(to_entries(self.buckets, self.document_buckets, self.width), ENTRIES), "entries", "uncompressed")
-        batch = entries.where(F.col("kind") == ENTRY).groupBy("bucket")
-        old = [n for n, _ in self.runs]
-        runs = self._entries(old) if old else self.spark.createDataFrame([], ENTRIES)
-        found = batch.cogroup(runs.groupBy("bucket")).applyInPandas(to_run(self.document_buckets), ENTRIES)
-        name = self._save(found)
+    def _runs(self, kind: int) -> DataFrame:
+        """Rows of a kind of all runs. A single run keeps its buckets; more are brought together."""
+        out = None
+        for name, _ in self.runs:
+            rows = self.spark.read.table(name).where(F.col("kind") == kind)
+            out = rows if out is None else out.union(rows)
+        return self.spark.createDataFrame([], ENTRIES) if out is None else out
+
+    def ingest(self, docs: DataFrame) -> None:
+        """Takes in (doc_id, text). The ids must be larger than those taken in before for a hit to
+        mean a smaller doc_id."""
+        batch = docs.select("doc_id", "text").mapInArrow(to_entries(self.buckets, self.document_buckets, self.width), ENTRIES)
+        runs = self._runs(ENTRY)
+        name = self._save(batch.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInPandas(to_run(self.document_buckets), ENTRIES))
+        del batch, runs
         self.runs.append((name, 0))
-        local = entries.where(F.col("kind") == HIT)
-        hits = materialize(local.union(self.spark.read.table(name).where(F.col("kind") == HIT)), "hits", "uncompressed")
-        forget(entries)
         release(self.spark)
         self.compact()
-        return hits
 
     def compact(self) -> None:
         """Joins the two newest runs while they are of one level; their buckets stay in place."""
         while len(self.runs) >= 2 and self.runs[-1][1] == self.runs[-2][1]:
             names, level = [n for n, _ in self.runs[-2:]], self.runs[-1][1]
-            one, two = (self._entries([n]).groupBy("bucket") for n in names)
+            one, two = (self.spark.read.table(n).groupBy("bucket") for n in names)
             name = self._save(one.cogroup(two).applyInPandas(compacted, ENTRIES))
             self.runs[-2:] = [(name, level + 1)]
             for n in names:
                 self.spark.sql(f"DROP TABLE {n}")
-            release(self.spark)
+
+    def hits(self) -> DataFrame:
+        """All hits, a row for each bucket of documents that has any."""
+        return materialize(self._runs(HIT).groupBy("bucket").applyInPandas(gathered, ENTRIES), "hits", "uncompressed")
 
     def drop(self) -> None:
         for n, _ in self.runs:
@@ -271,6 +303,17 @@ def apply_hits(width: int):
     """One bucket of documents: verifies the hits against the words of the documents that they
     name, and removes the words that verified windows cover."""
 
+    def verified(w: np.ndarray, k: np.ndarray, p: np.ndarray, sw: np.ndarray, sk: np.ndarray, sp: np.ndarray) -> np.ndarray:
+        """Whether the windows at p of a document occur in another, word by word: sw are that
+        one's words, sk its distinct window hashes in order, sp their first places."""
+        if not len(sk):
+            return np.zeros(len(p), bool)
+        j = np.minimum(np.searchsorted(sk, k[p]), len(sk) - 1)
+        equal = sk[j] == k[p]
+        for x in range(width):
+            equal &= sw[np.minimum(sp[j] + x, len(sw) - 1)] == w[p + x]
+        return equal
+
     def hashed(rows: pd.DataFrame) -> tuple[list[int], list[bytes], list[np.ndarray], list[np.ndarray]]:
         ids, texts, words, keys = [], [], [], []
         for i, t in zip(rows["id"], rows["text"], strict=True):
@@ -284,9 +327,7 @@ def apply_hits(width: int):
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         hits = rows[rows["kind"] == HIT]
-        docs = np.concatenate([np.zeros(0, np.int64), *(unpack_ids(x) for x in hits["docs"])])
-        names = np.concatenate([np.zeros(0, np.int64), *(unpack_ids(x) for x in hits["sources"])])
-        keys = np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in hits["keys"])])
+        docs, names, keys = unpack_hits(hits)
         order = np.lexsort((keys, docs))
         docs, names, keys = docs[order], names[order], keys[order]
         sources: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -298,22 +339,23 @@ def apply_hits(width: int):
             a, b = np.searchsorted(docs, i, "left"), np.searchsorted(docs, i, "right")
             gone = np.zeros(len(w) + 1, np.int64)
             if b > a and len(k):
-                at = np.minimum(np.searchsorted(keys[a:b], k), b - a - 1)
-                place = np.flatnonzero(keys[a:b][at] == k)
-                name = names[a:b][at[place]]
-                right = np.zeros(len(place), bool)
-                for s in np.unique(name):
-                    mine = np.flatnonzero(name == s)
-                    for sw, sk, sp in sources.get(int(s), []):
-                        p = place[mine]
-                        j = np.minimum(np.searchsorted(sk, k[p]), len(sk) - 1)
-                        there = sp[j]
-                        # Word by word, as one hash names a window.
-                        equal = sk[j] == k[p]
-                        for x in range(width):
-                            equal &= sw[np.minimum(there + x, len(sw) - 1)] == w[p + x]
-                        right[mine] |= equal
-                place = place[right]
+                half = k.astype(np.uint32)
+                mine, named = keys[a:b], names[a:b]
+                at = np.searchsorted(mine, half)
+                right = np.zeros(len(k), bool)
+                # Hits of one half of a hash are tried in turn until one holds.
+                while True:
+                    place = np.flatnonzero((at < b - a) & ~right)
+                    place = place[mine[at[place]] == half[place]]
+                    if not len(place):
+                        break
+                    name = named[at[place]]
+                    for s in np.unique(name):
+                        p = place[name == s]
+                        for sw, sk, sp in sources.get(int(s), []):
+                            right[p] |= verified(w, k, p, sw, sk, sp)
+                    at += 1
+                place = np.flatnonzero(right)
                 np.add.at(gone, place, 1)
                 np.add.at(gone, np.minimum(place + width, len(w)), -1)
             kept = np.cumsum(gone)[:-1] == 0
@@ -336,13 +378,15 @@ def named_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def remove_hits(docs: DataFrame, hits: DataFrame, document_buckets: int, width: int = WIDTH) -> DataFrame:
-    """A row for each of docs without the words that verified hits cover."""
+    """A row for each of docs without the words that verified hits (a row a bucket) cover."""
     id_ = F.coalesce(F.col("doc_id"), F.lit(int(NONE)))
     texts = docs.select(id_.alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     empty = F.lit(None).cast("binary")
     own = texts.select(F.pmod("id", F.lit(document_buckets)).cast("int").alias("bucket"), F.lit(OWN).alias("kind"), "id", "text", empty.alias("keys"), empty.alias("docs"), empty.alias("sources"))
-    pairs = materialize(hits.select("bucket", "sources").mapInArrow(named_sources, PAIRS).distinct(), "pairs")
-    needed = pairs.join(texts, F.col("source") == F.col("id")).select("bucket", F.lit(SOURCE).alias("kind"), "id", "text", empty.alias("keys"), empty.alias("docs"), empty.alias("sources"))
+    pairs = hits.select("bucket", "sources").mapInArrow(named_sources, PAIRS)
+    needed = materialize(pairs.join(texts, F.col("source") == F.col("id")).select("bucket", "id", "text"), "sources")
+    needed = needed.select("bucket", F.lit(SOURCE).alias("kind"), "id", "text", empty.alias("keys"), empty.alias("docs"), empty.alias("sources"))
+    release(docs.sparkSession)
     packed = hits.select("bucket", "kind", F.lit(0).cast("long").alias("id"), empty.alias("text"), "keys", "docs", "sources")
     return own.union(needed).union(packed).groupBy("bucket").applyInPandas(apply_hits(width), RESULT)
 
@@ -358,16 +402,14 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) ->
     document_buckets = max(16, int(first[0]) // TEXT_PER_BUCKET) | 1
     index = FingerprintIndex(spark, buckets, document_buckets, width)
     edges = [None, *sorted({x for x in first[1:] if x is not None}), None]
-    hits = []
     for low, high in zip(edges, edges[1:]):
         batch = docs
         if low is not None:
             batch = batch.where((F.col("doc_id") > low) | F.col("doc_id").isNull() if high is None else F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        hits.append(index.ingest(batch))
+        index.ingest(batch)
+    hits = index.hits()
     index.drop()
-    all_hits = hits[0]
-    for h in hits[1:]:
-        all_hits = all_hits.union(h)
-    return remove_hits(docs, all_hits, document_buckets, width)
+    release(spark)
+    return remove_hits(docs, hits, document_buckets, width)
