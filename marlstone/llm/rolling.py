@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 
 #: Odd multipliers, and a table that spreads byte values over 64 bits.
@@ -9,19 +12,28 @@ BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 SPREAD = np.random.Generator(np.random.PCG64(20240611)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers kept for the next call at most.
+KEPT = 1 << 21
+
+
+def shared() -> dict:
+    """What the tasks of one worker process keep between them. Functions travel by value, so that
+    each task has globals of its own; tables there would be garbage that piles up."""
+    return sys.modules.setdefault("marlstone_shared", types.ModuleType("marlstone_shared")).__dict__
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i for i < n, kept for the next call."""
-    have = _powers.get(base)
+    """base ** i and base ** -i for i < n."""
+    have = shared().get(base)
     if have is None or len(have[0]) < n:
         room = max(1 << 16, 1 << (n - 1).bit_length())
         up = np.full(room, base, np.uint64)
         up[0] = 1
         down = np.full(room, pow(base, -1, 2**64), np.uint64)
         down[0] = 1
-        have = _powers[base] = (np.cumprod(up), np.cumprod(down))
+        have = np.cumprod(up), np.cumprod(down)
+        if room <= KEPT:
+            shared()[base] = have
     return have[0][:n], have[1][:n]
 
 

@@ -26,8 +26,6 @@ are ignored.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import BINARY, INT, LONG, SPACE_BYTES, forget, materialize, new_path, release, schema, text_views, word_bounds
-from marlstone.llm.rolling import BASE, SPREAD, slices
+from marlstone.llm.rolling import BASE, SPREAD, shared, slices
 
 #: The id that ends each document.
 END = 2
@@ -189,10 +187,9 @@ class Encoder:
 
 def encoder(path: str, end: int) -> Encoder:
     """The encoder that the tasks of a worker process share."""
-    shared = sys.modules.setdefault("marlstone_encoders", types.ModuleType("marlstone_encoders"))
-    found = shared.__dict__.get((path, end))
+    found = shared().get((path, end))
     if found is None:
-        found = shared.__dict__[path, end] = Encoder(path, end)
+        found = shared()[path, end] = Encoder(path, end)
     return found
 
 
