@@ -52,10 +52,12 @@ def shingle_rows(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def bins(size: Column, item: Column, threshold: float, cover: float) -> Column:
     """log2 of the bins for a document partition (size up to a power of two) and an item
-    partition (size from a power of two)."""
+    partition (size from a power of two). Items of up to ``cover`` shingles get a bin for every
+    hash, so that all shingles are minima."""
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double"))))
     lower = F.pow(F.lit(2.0), F.floor(F.log2(item.cast("double"))))
-    return F.ceil(F.log2(F.lit(float(cover)) * upper / (F.lit(float(threshold)) * lower)))
+    least = F.ceil(F.log2(F.lit(float(cover)) * upper / (F.lit(float(threshold)) * lower)))
+    return F.when(item <= cover, F.lit(BITS).cast("long")).otherwise(least)
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, cover: float = COVER) -> DataFrame:
