@@ -59,13 +59,14 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     every = lambda t: F.explode(F.sequence(F.lit(0), F.lit(t - 1)))
     left = vectors.where(F.col("vector").isNotNull()).select(tile("key", tiles).alias("tile"), every(blocks).alias("block"), "key", "vector")
     right = queries.select(every(tiles).alias("tile"), tile("query_id", blocks).alias("block"), "query_id", "vector")
+    matrix = D.matrix
     key_type, id_type = vectors.schema["key"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 
     def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asked.empty:
             return pd.DataFrame({"query_id": asked["query_id"][:0], "key": rows["key"][:0], "score": np.zeros(0)})
         rows = rows.sort_values("key", kind="stable").reset_index(drop=True)
-        found = D.matrix(metric, np.stack(asked["vector"].to_numpy()), np.stack(rows["vector"].to_numpy()))
+        found = matrix(metric, np.stack(asked["vector"].to_numpy()), np.stack(rows["vector"].to_numpy()))
         # Stable, so that equal distances stay in order of keys.
         best = np.argsort(found, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), best.shape[1]), "key": rows["key"].to_numpy()[best.ravel()], "score": np.take_along_axis(found, best, axis=1).ravel()})
