@@ -304,7 +304,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, octet_length(encode(text)) AS size, md5(text) AS digest, text FROM documents WHERE source = 'src3' AND doc_id < 500")
 def object_get(spark, sf_dir):
-    rows = documents(spark, sf_dir).where((F.col("bucket") == "src3") & (F.col("doc_id") < 500))
+    """A part, as its SQL has it; object_get_all reads every object."""
+    return read_whole(documents(spark, sf_dir).where((F.col("bucket") == "src3") & (F.col("doc_id") < 500)))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS size, md5(text) AS digest, text FROM documents")
+def object_get_all(spark, sf_dir):
+    return read_whole(documents(spark, sf_dir))
+
+
+def read_whole(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", O.size(F.col("data")).alias("size"), F.md5("data").alias("digest"), F.decode("data", "UTF-8").alias("text"))
 
 
