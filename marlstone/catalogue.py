@@ -370,7 +370,20 @@ def object_range_header(spark, sf_dir):
     c AS (SELECT doc_id, b, size, unnest(range(0, ((size + 999) // 1000)::BIGINT)) AS no FROM s)
     SELECT doc_id, no::INTEGER AS no, LEAST(1000, size - no * 1000)::BIGINT AS size, md5(hex(b[(no * 1000 + 1)::BIGINT:LEAST((no + 1) * 1000, size)::BIGINT])) AS digest FROM c""")
 def object_chunks(spark, sf_dir):
-    rows = documents(spark, sf_dir).where(F.col("doc_id") % 10 == 1).select("doc_id", F.explode(O.chunks(F.col("data"), 1000)).alias("c"))
+    """A tenth, as its SQL has it; object_chunks_all cuts every object."""
+    return chunked(documents(spark, sf_dir).where(F.col("doc_id") % 10 == 1))
+
+
+def object_chunks_all(spark, sf_dir):
+    return chunked(documents(spark, sf_dir))
+
+
+#: Without SQL: a test holds it against Python.
+QUERIES["object_chunks_all"] = object_chunks_all
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    rows = rows.select("doc_id", F.explode(O.chunks(F.col("data"), 1000)).alias("c"))
     return rows.select("doc_id", "c.no", F.octet_length("c.bytes").cast("long").alias("size"), F.md5(F.hex("c.bytes").cast("binary")).alias("digest"))
 
 

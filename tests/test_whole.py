@@ -17,3 +17,13 @@ def test_get_reads_every_object(spark):
     want = sorted((r.doc_id, len(r.text.encode()), hashlib.md5(r.text.encode()).hexdigest(), r.text) for r in stored(spark))
     got = entry.queries()["object_get_all"](spark, SF)
     assert sorted((r.doc_id, r["size"], r.digest, r.text) for r in got.collect()) == want
+
+
+def test_chunks_cover_every_object(spark):
+    want = []
+    for r in stored(spark):
+        data = r.text.encode()
+        parts = [data[i : i + 1000] for i in range(0, len(data), 1000)]
+        want += [(r.doc_id, no, len(x), hashlib.md5(x.hex().upper().encode()).hexdigest()) for no, x in enumerate(parts)]
+    got = entry.queries()["object_chunks_all"](spark, SF)
+    assert sorted((r.doc_id, r.no, r["size"], r.digest) for r in got.collect()) == sorted(want)
