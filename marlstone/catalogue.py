@@ -396,7 +396,17 @@ def object_concat_chunks(spark, sf_dir):
 
 @query(f"""SELECT 'copies' AS bucket, 'copy/' || {KEY} AS key, '"' || md5(text) || '"' AS etag FROM documents WHERE source = 'src1' AND doc_id % 3 <> 0""")
 def object_copy(spark, sf_dir):
-    source = documents(spark, sf_dir).where((F.col("bucket") == "src1") & (F.col("doc_id") % 3 != 0)).withColumn("etag", O.etag(F.col("data")))
+    """A part, as its SQL has it; object_copy_all copies every object."""
+    return copied(documents(spark, sf_dir).where((F.col("bucket") == "src1") & (F.col("doc_id") % 3 != 0)))
+
+
+@query(f"""SELECT 'copies' AS bucket, 'copy/' || {KEY} AS key, '"' || md5(text) || '"' AS etag FROM documents""")
+def object_copy_all(spark, sf_dir):
+    return copied(documents(spark, sf_dir))
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    source = rows.withColumn("etag", O.etag(F.col("data")))
     return copies(source, "copies", F.concat(F.lit("copy/"), F.col("key")), 0).select("bucket", "key", "etag")
 
 

@@ -27,3 +27,9 @@ def test_chunks_cover_every_object(spark):
         want += [(r.doc_id, no, len(x), hashlib.md5(x.hex().upper().encode()).hexdigest()) for no, x in enumerate(parts)]
     got = entry.queries()["object_chunks_all"](spark, SF)
     assert sorted((r.doc_id, r.no, r["size"], r.digest) for r in got.collect()) == sorted(want)
+
+
+def test_copy_takes_every_object(spark):
+    want = sorted(("copies", f"copy/{r.lang}/{r.source}/{r.doc_id:08d}.txt", f'"{hashlib.md5(r.text.encode()).hexdigest()}"') for r in stored(spark))
+    got = entry.queries()["object_copy_all"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == want
