@@ -3,10 +3,13 @@
 A line's quote level is the number of leading '>' (spaces between them allowed). Runs of lines at
 one level are passages; level 0 is the message's own text. Passages are normalised (quote marks
 off, lower case, white space to single spaces) and hashed. The originals of a conversation - each
-message's whole own text, its paragraphs and its lines - are reduced to the earliest turn that has
-a hash, so that a line that everyone writes is one row; quoted passages join that row, and link to
-it if it is an earlier turn. A message replies to the original of its first linked passage of the
-least level, else it starts a thread. Threads are followed to their roots by pointer jumping.
+message's whole own text, its parts between quotes, its paragraphs and its lines - are reduced to
+the earliest turn that has a hash, so that a line that everyone writes is one row; quoted passages
+join that row, and link to it if it is an earlier turn. A passage of several lines that finds no
+such original links to the earliest turn that has these lines in a row (blank lines aside): messages
+of its conversation hash their runs of as many lines as unlinked passages have. A message replies to
+the original of its first linked passage of the least level, else it starts a thread. Threads are
+followed to their roots by pointer jumping.
 
 Defined results: a null text is empty; messages that only quote have an empty body; null conv_id or
 turn cannot be quoted or reply; repeated rows are separate messages of one turn; an empty table
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import forget, materialize
 
+#: Tasks over which the messages of one conversation are dealt where runs of lines are asked for.
+SPREAD = 32
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 
 
@@ -36,6 +41,11 @@ def hashed(text: Column) -> Column:
     return F.xxhash64(normalised(text))
 
 
+def filled(text: Column) -> Column:
+    """The normalised lines of a text, without blank ones."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """Adds body (own text), passages (level, text, place) and units (own texts that may be quoted)
     to conv_id, turn, role. Everything is computed in the message's own row."""
@@ -53,7 +63,7 @@ def parse(messages: DataFrame) -> DataFrame:
     d = d.withColumn("parts", F.transform("begins", passage))
     own = F.filter("parts", lambda p: p["level"] == 0)
     d = d.withColumn("body", F.regexp_replace(F.array_join(F.transform(own, lambda p: p["text"]), "\n"), r"^\s+|\s+$", ""))
-    units = F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n"))
+    units = F.concat(F.array("body"), F.transform(own, lambda p: p["text"]), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n"))
     d = d.withColumn("units", F.array_distinct(F.filter(F.transform(units, normalised), lambda u: u != "")))
     quoted = F.filter("parts", lambda p: (p["level"] > 0) & (normalised(p["text"]) != ""))
     return d.select("conv_id", "turn", "role", "body", "units", quoted.alias("quotes"))
@@ -67,17 +77,40 @@ def originals(parsed: DataFrame) -> DataFrame:
 
 
 def passages(parsed: DataFrame) -> DataFrame:
-    """A row for each quoted passage: conv_id, turn, place, level, h."""
+    """A row for each quoted passage: conv_id, turn, place, level, n_lines, h."""
     rows = parsed.select("conv_id", "turn", F.explode("quotes").alias("q"))
-    return rows.select("conv_id", "turn", "q.place", "q.level", hashed(F.col("q.text")).alias("h"))
+    return rows.select("conv_id", "turn", "q.place", "q.level", F.size(filled(F.col("q.text"))).alias("n_lines"), hashed(F.col("q.text")).alias("h"))
+
+
+def runs(parsed: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(conv, n, h, first): the earliest turn of a conversation that has a run of n lines, for the
+    lengths (c, n) that are asked for."""
+    lengths = lengths.groupBy("c").agg(F.collect_set("n").alias("ns")).select("c", "ns", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("s"))
+    d = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", "body", F.pmod(F.xxhash64("turn"), F.lit(SPREAD)).cast("int").alias("salt"))
+    d = d.join(lengths, (F.col("conv_id") == F.col("c")) & (F.col("salt") == F.col("s")))
+    d = d.select(F.col("conv_id").alias("conv"), "turn", filled(F.col("body")).alias("lines"), F.explode("ns").alias("n")).where(F.size("lines") >= F.col("n"))
+    d = d.select("conv", "turn", "lines", "n", F.explode(F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1)).alias("i"))
+    # Joined by spaces, the lines of a run are its normalised text.
+    d = d.select("conv", "turn", "n", F.xxhash64(F.array_join(F.slice("lines", F.col("i"), F.col("n")), " ")).alias("h"))
+    return d.groupBy("conv", "n", "h").agg(F.min("turn").alias("first"))
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """Passages with the turn of their original (null where none is earlier)."""
     quoted = passages(parsed)
     source = originals(parsed)
+    earlier = F.when(F.col("first") < F.col("turn"), F.col("first")).alias("original")
     joined = quoted.join(source, (F.col("conv_id") == F.col("conv")) & (quoted.h == source.h), "left")
-    return joined.select("conv_id", "turn", "place", "level", F.when(F.col("first") < F.col("turn"), F.col("first")).alias("original"))
+    whole = materialize(joined.select("conv_id", "turn", "place", "level", "n_lines", quoted.h, earlier), "passages")
+    columns = ["conv_id", "turn", "place", "level", "original"]
+    open_ = F.col("original").isNull() & (F.col("n_lines") > 1) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    missing = whole.where(open_)
+    if missing.isEmpty():
+        return whole.select(*columns)
+    source = runs(parsed, missing.select(F.col("conv_id").alias("c"), F.col("n_lines").alias("n")).distinct())
+    missing = missing.drop("original")
+    on = (F.col("conv_id") == F.col("conv")) & (F.col("n_lines") == F.col("n")) & (missing.h == source.h)
+    return whole.where(~open_).select(*columns).union(missing.join(source, on, "left").select(*columns[:-1], earlier))
 
 
 def threads(replies: DataFrame) -> DataFrame:
