@@ -285,7 +285,8 @@ def to_statistics(rate: float):
     return scan
 
 
-SCORES = schema(doc_id=LONG, score=DOUBLE, n_segments=INT, top_start=INT, top_end=INT)
+SEGMENT = T.StructType([T.StructField("start", INT), T.StructField("end", INT), T.StructField("score", DOUBLE)])
+SCORES = schema(doc_id=LONG, score=DOUBLE, n_segments=INT, top_start=INT, top_end=INT, segments=T.ArrayType(SEGMENT))
 
 
 def to_scores(model: Model):
@@ -298,20 +299,23 @@ def to_scores(model: Model):
                 x = min(statistic(n, [s for *_, s in parts], model.rate), TOP)
                 rare = [p for p in parts if K * n * math.exp(-min(model.rate * p[2], 700)) < 0.05]
                 top = max(rare, key=lambda p: p[2], default=(0, 0, 0.0))
-                out.append((model.probability(x), len(rare), top[0], top[1]))
-            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
-            columns = zip(*out, strict=True) if out else [[]] * 4
+                found = [{"start": a, "end": b, "score": s} for a, b, s in sorted(rare)]
+                out.append((model.probability(x), len(rare), top[0], top[1], found))
+            segment = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(segment))
+            columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=SCORES.names)
 
     return scan
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, and its significant passages: their number
-    and the tokens of the highest (from, to; 0, 0 where there is none)."""
+    """doc_id, held_out, score, predicted of every row, and its significant passages: their number,
+    the tokens of the highest (from, to; 0, 0 where there is none), and segments, an array of the
+    start, end and score of all in order."""
     model = train(docs, labels, sample)
     scored = docs.select("doc_id", "text").mapInArrow(to_scores(model), SCORES)
-    return scored.select("doc_id", folded(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", "top_start", "top_end")
+    return scored.select("doc_id", folded(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", "top_start", "top_end", "segments")
 
 
 def rejects(model: Model):
