@@ -1,15 +1,8 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
+"""Benchmark decontamination: exact containment of benchmark items by shared shingles.
 
-Documents and benchmark items become sets of hashed five-word shingles. One hash per shingle
-serves as a one-permutation MinHash: with m bins (the first log2 m bits), a set's sketch is the
-smallest hash of each bin. Documents are partitioned by size and items by size, both to powers of
-two; a pair of partitions gets the number of bins at which an item that a document contains to the
-threshold shares COVER bin minima on average (a miss has probability about exp(-COVER), and none
-where there are so many bins that all shingles are minima). Bins nest, so one number a shingle -
-the bits that it shares with its predecessor in hash order - says for every m whether it is a
-minimum, and one pass over the text serves all partitions. Pairs that share a minimum are
-candidates; a candidate stays if the document holds the threshold's share of the item's shingles,
-counted exactly over distinct shingles.
+Documents and benchmark items become sets of hashed five-word shingles. Every distinct shingle of a
+document is joined with the items' shingles, and a pair stays if the document holds the threshold's
+share of the item's shingles, counted over distinct shingles. No sketch decides: no pair is lost.
 
 Defined results: null and empty texts have no shingles and no pairs; texts of one to four words
 are one shingle; repeated rows and rows with the same doc_id count as one document; an empty table
@@ -25,8 +18,6 @@ from marlstone.llm.common import materialize, same, words
 
 #: Words of a shingle, and the share of an item's shingles that makes a document contaminated.
 WIDTH, THRESHOLD = 5, 0.8
-#: Shared bin minima that a contaminated pair has on average.
-COVER = 16
 #: Rows of item shingles up to which they are broadcast (16 bytes each); above, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bits of a hash in a packed shingle; the other 6 hold the number of leading bits it shares.
@@ -50,31 +41,19 @@ def shingle_rows(df: DataFrame, key: str, name: str) -> DataFrame:
     return d.select(name, "size", F.shiftright("v", 6).alias("h"), (F.col("v").bitwiseAND(F.lit(63)) - 1).alias("shared"))
 
 
-def bins(size: Column, item: Column, threshold: float, cover: float) -> Column:
-    """log2 of the bins for a document partition (size up to a power of two) and an item
-    partition (size from a power of two). Items of up to ``cover`` shingles get a bin for every
-    hash, so that all shingles are minima."""
-    upper = F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double"))))
-    lower = F.pow(F.lit(2.0), F.floor(F.log2(item.cast("double"))))
-    least = F.ceil(F.log2(F.lit(float(cover)) * upper / (F.lit(float(threshold)) * lower)))
-    return F.when(item <= cover, F.lit(BITS).cast("long")).otherwise(least)
-
-
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, cover: float = COVER) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment) of documents that hold the
     threshold's share of an item's distinct shingles."""
-    bench = materialize(shingle_rows(items, "item_id", "item_id").distinct().select("item_id", F.col("size").alias("n_item"), F.col("h").alias("_h"), F.col("shared").alias("_shared")), "items")
+    bench = materialize(shingle_rows(items, "item_id", "item_id").distinct().select("item_id", F.col("size").alias("n_item"), F.col("h").alias("_h")), "items")
     if bench.count() <= BROADCAST_ROWS:
         bench = F.broadcast(bench)
     hits = shingle_rows(docs, "doc_id", "doc_id").join(bench, F.col("h") == F.col("_h"))
-    m = bins(F.col("size"), F.col("n_item"), threshold, cover)
-    minimum = (F.col("shared") < m) & (F.col("_shared") < m)
-    pairs = hits.groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("h").alias("n_shared"), F.max(minimum).alias("candidate"))
-    pairs = pairs.where(F.col("candidate") & (F.col("n_shared") >= F.col("n_item") * threshold - 1e-9))
+    pairs = hits.groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("h").alias("n_shared"))
+    pairs = pairs.where(F.col("n_shared") >= F.col("n_item") * threshold - 1e-9)
     return pairs.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, cover: float = COVER) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no item, with their columns."""
-    bad = leaks(docs, items, threshold, cover).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = leaks(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, same(docs["doc_id"], F.col("__bad")), "left_anti")
