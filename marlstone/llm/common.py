@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,9 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.rolling import BASE, SPREAD, slices
+
 #: White space that separates words, as a regular expression for the JVM.
 SPACE = r"[\x20\x09-\x0D]+"
 #: The same bytes for numpy.
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -114,6 +118,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def word_hashes_of(text: bytes, most: int = 1 << 20) -> np.ndarray:
+    """The hash of each word of a text, made of about ``most`` bytes at a time: pieces end at white
+    space, so that only a word of that size costs more memory."""
+    parts, at = [], 0
+    while at < len(text):
+        end = at + most
+        if end < len(text):
+            gap = BLANK.search(text, end)
+            end = gap.start() if gap else len(text)
+        data = np.frombuffer(text, np.uint8)[at:end]
+        starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+        parts.append(slices(SPREAD[data], starts, ends, BASE))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each linked node can reach, by alternating large-star
     and small-star steps over links (a, b) of longs. Nodes without links are absent.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm_words import WORDS
 
-from marlstone.llm import logindex, rolling, suffixes
+from marlstone.llm import common, logindex, rolling, suffixes
 
 
 def removed_bytes(texts, depth):
@@ -22,11 +22,46 @@ def removed_bytes(texts, depth):
         yield len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize(("depth", "anchor"), [(400, 256), (40, 16), (12, 12)])
-def test_suffixes(documents, fixture_rows, depth, anchor):
+def shared_words(rows, width):
+    """Words covered by windows of another document, and of a document with a smaller id."""
+    docs = {}
+    words = [(float("inf") if r[0] is None else r[0], WORDS.findall(r[1] or "")) for r in rows]
+    for i, w in words:
+        for k in range(len(w) - width + 1):
+            docs.setdefault(tuple(w[k : k + width]), set()).add(i)
+    for i, w in words:
+        shared, later = [False] * len(w), [False] * len(w)
+        for k in range(len(w) - width + 1):
+            have = docs[tuple(w[k : k + width])]
+            if len(have) > 1:
+                shared[k : k + width] = [True] * width
+            if min(have) < i:
+                later[k : k + width] = [True] * width
+        yield sum(shared), sum(later)
+
+
+@pytest.mark.parametrize(("depth", "anchor", "words", "word_anchor"), [(400, 256, 50, 20), (40, 16, 10, 4), (12, 12, 3, 3)])
+def test_suffixes(documents, fixture_rows, depth, anchor, words, word_anchor):
     texts = [(r[1] or "").encode() for r in fixture_rows]
-    want = {r[0]: w for r, w in zip(fixture_rows, removed_bytes(texts, depth))}
-    got = {r.doc_id: tuple(r)[1:] for r in suffixes.deduplicate(documents, depth, anchor).collect()}
+    want = {r[0]: (*w, *x) for r, w, x in zip(fixture_rows, removed_bytes(texts, depth), shared_words(fixture_rows, words))}
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.deduplicate(documents, depth, anchor, words, word_anchor).collect()}
+    assert got == want
+
+
+def test_shared_words_under_one_anchor(spark):
+    """Near copies, repeats inside one document, equal windows in unequal covers."""
+    r = np.random.default_rng(5)
+    base = [f"w{x}" for x in r.integers(0, 6, 300)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for p in r.integers(0, 300, 3):
+            t[p] = "changed"
+        rows.append((int(r.integers(0, 40)), " ".join(t[int(r.integers(0, 50)) :] + (t[:90] if i % 7 == 0 else []))))
+    rows += [(None, rows[0][1]), (None, rows[1][1]), rows[5]]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), s, x) for (i, _), (s, x) in zip(rows, shared_words(rows, 12)))
+    got = sorted((str(r.doc_id), r.n_shared_words, r.n_later_words) for r in suffixes.deduplicate(d, 40, 16, 12, 4).collect())
     assert got == want
 
 
@@ -34,7 +69,13 @@ def test_suffixes_segments(documents, fixture_rows, monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 700)
     texts = [(r[1] or "").encode() for r in fixture_rows]
     want = {r[0]: w for r, w in zip(fixture_rows, removed_bytes(texts, 40))}
-    assert {r.doc_id: tuple(r)[1:] for r in suffixes.deduplicate(documents, 40, 16).collect()} == want
+    assert {r.doc_id: tuple(r)[1:5] for r in suffixes.deduplicate(documents, 40, 16).collect()} == want
+
+
+def test_word_hashes_in_pieces(fixture_rows):
+    for r in fixture_rows:
+        t = (r[1] or "").encode()
+        assert np.array_equal(common.word_hashes_of(t, 50), common.word_hashes_of(t))
 
 
 def test_suffixes_repeated_rows(spark):
