@@ -5,12 +5,17 @@ exclusive-or and bit count; tiles are ordered by population count, and pairs of
 differ by more than the radius are skipped. Tiles of all fingerprints would be quadratic in the
 corpus, so they are laid inside bands: cut 64 bits into BLOCKS or more blocks, and two fingerprints
 within RADIUS bits agree on all but RADIUS of them. For each choice of agreeing blocks, fingerprints
-with the same bits there meet; there are as many blocks as keep a band near PER_BAND fingerprints.
+with the same bits there meet; the number of blocks weighs bands against comparisons in them.
 No pair within the radius is lost. A band larger than TILE is cut into tiles by population count
 and hash, and each pair of tiles is a group of its own, so that no task holds a band.
 
 Links (a spanning forest of each group's) go through distributed connected components.
 
+``representatives`` is to find texts whose five-word shingles are alike to 0.8, which the radius of
+``near_duplicates`` misses half of. It searches fingerprints of shorter shingles within a wider
+radius, and a second fingerprint, of shingles yet shorter, must confirm each link: unrelated texts
+seldom pass the first test and hardly ever both, so that a large corpus isn't chained together.
+
 Defined results: null and empty texts have fingerprint zero; repeated rows share a component; a
 null doc_id takes part and never names a component (a component of null ids alone has null); an
 empty table gives no rows; other columns are ignored.
@@ -32,63 +37,80 @@ from marlstone.llm.common import LONG, connected_components, forget, materialize
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 WIDTH, SEED, RADIUS = 4, 42, 4
-#: Fingerprints that a band holds on average, and those that one tile holds at most.
+#: The same for representatives(): words of the searched and the confirming shingles, and radii.
+NEAR_WIDTHS, NEAR_RADIUS, CONFIRM_RADIUS = (3, 2), 10, 12
+#: Fingerprints whose comparison costs as much as one more band, and those a tile holds at most.
 PER_BAND, TILE = 1024, 2048
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
-    """SimHash of a UTF-8 text's word shingles as a signed 64-bit integer."""
+def fingerprints_of(text: bytes | None, widths: tuple[int, ...] = (WIDTH,)) -> list[int]:
+    """SimHashes of a UTF-8 text's word shingles of some widths as signed 64-bit integers."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * len(widths)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(len(words) - width + 1, 1)
-    starts = np.concatenate([[0], ends[: n - 1] + 1])
-    ends = ends[-n:]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts.tolist(), ends.tolist())), repeat(SEED)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(">i8")[0])
+    out = []
+    for width in widths:
+        n = max(len(words) - width + 1, 1)
+        starts = np.concatenate([[0], ends[: n - 1] + 1])
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts.tolist(), ends[-n:].tolist())), repeat(SEED)), np.uint64, n)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 4096):
+            ones += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > n).view(">i8")[0]))
+    return out
+
+
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    return fingerprints_of(text, (width,))[0]
 
 
-FINGERPRINTS = schema(doc_id=LONG, fp=LONG)
+#: Columns of fingerprints: the one that is searched, and one that confirms.
+VALUES = ("fp", "more")
 
 
-def to_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = [fingerprint(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=FINGERPRINTS.names)
+def fingerprints(docs: DataFrame, widths: tuple[int, ...] = (WIDTH,)) -> DataFrame:
+    """(doc_id, fp) of every row, and with two widths (doc_id, fp, more)."""
+    kind = schema(doc_id=LONG, **dict.fromkeys(VALUES[: len(widths)], LONG))
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprints_of(t, widths) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(len(widths)))], names=kind.names)
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(to_fingerprints, FINGERPRINTS)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, kind)
 
 
 def masks(n: int, radius: int = RADIUS) -> list[int]:
-    """Masks of the bits that must agree, for about PER_BAND of n fingerprints in a band."""
-    need = math.log2(max(n / PER_BAND, 1))
-    blocks = radius + 1
-    while 64 * (blocks - radius) / blocks < need and blocks < 4 * radius:
-        blocks += 1
+    """Masks of the bits that must agree: as many blocks as cost least for n fingerprints, where
+    a fingerprint costs a row a mask, and in its band a comparison with PER_BAND others as much."""
+
+    def cost(blocks: int) -> float:
+        return math.comb(blocks, radius) * (1 + n / 2 ** (64 * (blocks - radius) / blocks) / PER_BAND)
+
+    blocks = min(range(radius + 1, 2 * radius + 5), key=cost)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     bits = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
     return [sum(c) for c in combinations(bits, blocks - radius)]
 
 
-def close_pairs(one: np.ndarray, two: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of two sorted-by-population arrays within the radius, tile by tile."""
+def close_pairs(one: list[np.ndarray], two: list[np.ndarray], radii: tuple[int, ...], step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of two sorted-by-population arrays within the radius, tile by tile. Where
+    there are confirming fingerprints beside them, these must be within their radius too."""
     a, b = [], []
-    p, q = np.bitwise_count(one), np.bitwise_count(two)
-    for i in range(0, len(one), step):
-        x = one[i : i + step]
-        low, high = int(p[i]), int(p[min(i + step, len(one)) - 1])
-        for j in range(0, len(two), step):
-            if int(q[j]) > high + radius or int(q[min(j + step, len(two)) - 1]) < low - radius:
+    radius = radii[0]
+    p, q = np.bitwise_count(one[0]), np.bitwise_count(two[0])
+    for i in range(0, len(p), step):
+        x = one[0][i : i + step]
+        low, high = int(p[i]), int(p[min(i + step, len(p)) - 1])
+        for j in range(0, len(q), step):
+            if int(q[j]) > high + radius or int(q[min(j + step, len(q)) - 1]) < low - radius:
                 continue
-            u, v = np.nonzero(np.bitwise_count(x[:, None] ^ two[None, j : j + step]) <= radius)
+            u, v = np.nonzero(np.bitwise_count(x[:, None] ^ two[0][None, j : j + step]) <= radius)
+            for k in range(1, len(radii)):
+                sure = np.bitwise_count(one[k][u + i] ^ two[k][v + j]) <= radii[k]
+                u, v = u[sure], v[sure]
             a.append(u + i)
             b.append(v + j)
     return np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
@@ -114,26 +136,27 @@ LINKS = schema(a=LONG, b=LONG)
 GROUP = ("band", "key", "p1", "s1", "p2", "s2")
 
 
-def compare(radius: int):
+def compare(radii: tuple[int, ...]):
     """Rows sorted by group, side and population become links; one group is held at a time."""
+    values = VALUES[: len(radii)]
 
-    def links(side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one, two = fp[side == 0], fp[side == 1]
-        if len(two):
-            a, b = close_pairs(one, two, radius)
-            b = b + len(one)
+    def links(side: np.ndarray, fps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        one, two = ([f[side == s] for f in fps] for s in (0, 1))
+        if len(two[0]):
+            a, b = close_pairs(one, two, radii)
+            b = b + len(one[0])
         else:
-            a, b = close_pairs(one, one, radius)
+            a, b = close_pairs(one, one, radii)
             keep = a < b
             a, b = a[keep], b[keep]
-        both = np.concatenate([one, two])
+        both = np.concatenate([one[0], two[0]])
         node, root = forest(len(both), a, b)
         return both[node], both[root]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in (*GROUP, "side", "fp")]
+            columns = [batch.column(c).to_numpy() for c in (*GROUP, "side", *values)]
             if rest is not None:
                 columns = [np.concatenate([x, y]) for x, y in zip(rest, columns, strict=True)]
             change = np.zeros(max(len(columns[0]) - 1, 0), bool)
@@ -146,8 +169,8 @@ def compare(radius: int):
             yield from done(rest, [0, len(rest[0])])
 
     def done(columns: list[np.ndarray], cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        side, fp = columns[-2], columns[-1].view(np.uint64)
-        found = [links(side[i:j], fp[i:j]) for i, j in zip(cuts, cuts[1:]) if j - i > 1]
+        side, fps = columns[len(GROUP)], [c.view(np.uint64) for c in columns[len(GROUP) + 1 :]]
+        found = [links(side[i:j], [f[i:j] for f in fps]) for i, j in zip(cuts, cuts[1:]) if j - i > 1]
         if found:
             a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
             if len(a):
@@ -156,37 +179,40 @@ def compare(radius: int):
     return scan
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between fingerprints (fp) that connect all pairs within the radius."""
+def links(distinct: DataFrame, n: int, radii: tuple[int, ...] = (RADIUS,), tile: int = TILE) -> DataFrame:
+    """Links (a, b) between fingerprints (fp) that connect all pairs within the radius, and within
+    the second radius by their confirming fingerprints (more)."""
+    radius, values = radii[0], VALUES[: len(radii)]
     bands = masks(n, radius)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(bands)]))
-    rows = distinct.select("fp", F.bit_count("fp").alias("pop"), keys.alias("x")).select("x.*", "pop", "fp")
+    rows = distinct.select(*values, F.bit_count("fp").alias("pop"), keys.alias("x")).select("x.*", "pop", *values)
     counts = rows.groupBy("band", "key", "pop").agg(F.count("*").alias("n"))
     large = counts.groupBy("band", "key").agg(F.sum("n").alias("all")).where(F.col("all") > tile)
     large = materialize(large.select(F.col("band").alias("b"), F.col("key").alias("k")), "large")
     zero = [F.lit(0).alias(c) for c in ("p1", "s1", "p2", "s2")]
     if large.isEmpty():
-        groups = rows.select("band", "key", *zero, F.lit(0).alias("side"), "pop", "fp")
+        groups = rows.select("band", "key", *zero, F.lit(0).alias("side"), "pop", *values)
     else:
         on = (F.col("band") == F.col("b")) & (F.col("key") == F.col("k"))
-        small = rows.join(large, on, "left_anti").select("band", "key", *zero, F.lit(0).alias("side"), "pop", "fp")
+        small = rows.join(large, on, "left_anti").select("band", "key", *zero, F.lit(0).alias("side"), "pop", *values)
         # Tiles of a large band: its fingerprints of one population count, salted by hash.
         tiles = materialize(counts.join(large, on).select("b", "k", F.col("pop").alias("tp"), F.ceil(F.col("n") / (tile // 2)).cast("int").alias("tiles")), "tiles")
-        mine = rows.join(tiles, on & (F.col("pop") == F.col("tp"))).select("band", "key", "pop", "fp", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("s"))
-        meets = mine.join(tiles, on & (F.abs(F.col("pop") - F.col("tp")) <= radius)).select("band", "key", "pop", "fp", "s", "tp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("ts"))
+        mine = rows.join(tiles, on & (F.col("pop") == F.col("tp"))).select("band", "key", "pop", *values, F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("s"))
+        meets = mine.join(tiles, on & (F.abs(F.col("pop") - F.col("tp")) <= radius)).select("band", "key", "pop", *values, "s", "tp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("ts"))
         ahead = (F.col("pop") < F.col("tp")) | ((F.col("pop") == F.col("tp")) & (F.col("s") <= F.col("ts")))
         pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
-        wide = meets.select("band", "key", pick("pop", "tp").alias("p1"), pick("s", "ts").alias("s1"), pick("tp", "pop").alias("p2"), pick("ts", "s").alias("s2"), F.when(ahead, 0).otherwise(1).alias("side"), "pop", "fp")
+        wide = meets.select("band", "key", pick("pop", "tp").alias("p1"), pick("s", "ts").alias("s1"), pick("tp", "pop").alias("p2"), pick("ts", "s").alias("s2"), F.when(ahead, 0).otherwise(1).alias("side"), "pop", *values)
         groups = small.union(wide)
     groups = groups.repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "pop")
-    return groups.select(*GROUP, "side", "fp").mapInArrow(compare(radius), LINKS)
+    return groups.select(*GROUP, "side", *values).mapInArrow(compare(radii), LINKS)
 
 
-def components(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def components(fps: DataFrame, radii: tuple[int, ...] = (RADIUS,), tile: int = TILE) -> DataFrame:
     """(f, component_id): for each distinct fingerprint of (doc_id, fp), the smallest doc_id that it
-    reaches over links."""
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = materialize(links(distinct.select("fp"), distinct.count(), radius, tile), "close")
+    reaches over links. Of rows with equal fp the least ``more`` confirms."""
+    values = VALUES[: len(radii)]
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in values[1:]]), "distinct")
+    found = materialize(links(distinct.select(*values), distinct.count(), radii, tile), "close")
     release(fps.sparkSession)
     nodes = materialize(connected_components(found), "nodes")
     forget(found)
@@ -199,18 +225,21 @@ def components(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     fps = materialize(fingerprints(docs), "fingerprints")
-    classes = components(fps, radius, tile)
+    classes = components(fps, (radius,), tile)
     joined = fps.join(classes, F.col("fp") == F.col("f"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def representatives(docs: DataFrame, widths: tuple[int, ...] = NEAR_WIDTHS, radii: tuple[int, ...] = (NEAR_RADIUS, CONFIRM_RADIUS), tile: int = TILE) -> DataFrame:
     """The row with the smallest doc_id of each group, with the columns of docs. Of rows that share
-    that doc_id one stays; rows without a doc_id cannot be named by a group and all stay."""
-    fps = materialize(fingerprints(docs), "fingerprints")
-    classes = components(fps, radius, tile)
+    that doc_id the one with the least text stays; rows without a doc_id cannot be named by a group
+    and all stay."""
+    fps = materialize(fingerprints(docs, widths), "fingerprints")
+    classes = components(fps, radii, tile)
     kept = fps.join(classes, F.col("fp") == F.col("f")).where(F.col("doc_id") == F.col("component_id"))
     kept = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept"), "n"), "kept")
     out = docs.join(kept.select("__kept"), docs["doc_id"] == F.col("__kept"), "left_semi")
-    out = out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    if not kept.where("n > 1").isEmpty():
+        one = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(docs["text"], F.xxhash64(*[docs[c] for c in docs.columns])))
+        out = out.groupBy(docs["doc_id"]).agg(one.alias("__row")).select("__row.*")
     return out.union(docs.where(docs["doc_id"].isNull()))

@@ -233,7 +233,7 @@ def test_masks_cover_every_pair():
 
 def test_representatives(spark, documents, fixture_rows):
     ids, fps = [r[0] for r in fixture_rows], [fingerprint(r[1]) for r in fixture_rows]
-    kept = simhash.representatives(documents)
+    kept = simhash.representatives(documents, (simhash.WIDTH,), (simhash.RADIUS,))
     assert kept.columns == documents.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes(ids, fps).values()))
     d = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
@@ -422,3 +422,28 @@ def test_mix_edges(spark, empty):
     d = spark.createDataFrame([(1, "a b", None), (1, "a b", None), (None, None, "x"), (2, "", "y")], "doc_id long, text string, source string")
     got = sorted((str(x.doc_id), x["size"], x.taken) for x in mixing.mix(d).collect())
     assert got == [("1", 2, 2), ("1", 2, 2), ("2", 0, 0), ("None", 0, 0)]
+
+
+def test_near_copies_of_prose(spark):
+    """One document of each group stays: near copies (0.8 alike by five-word shingles) go at 0.9 or
+    more, unrelated texts all stay; of rows with one doc_id the same one stays in every run."""
+    r = np.random.default_rng(11)
+    prose = lambda n: ["".join(r.choice(list("abcdefgh"), r.integers(1, 7))) for _ in range(n)]
+    rows, originals = [], set()
+    for i in range(120):
+        words = prose(int(r.integers(150, 400)))
+        originals.add(i * 10)
+        rows.append((i * 10, " ".join(words)))
+        if i % 2 == 0:
+            # Three changed words: 15 of at least 146 shingles differ.
+            near = list(words)
+            for p in r.choice(len(near), 3, replace=False):
+                near[p] = "changed"
+            rows.append((i * 10 + 1, " ".join(near)))
+    rows.append((0, "another text " + rows[0][1]))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = [tuple(x) for x in simhash.representatives(d).collect()]
+    ids = {i for i, _ in kept}
+    assert originals <= ids and len(kept) == len(ids)
+    assert len(ids - originals) <= 6
+    assert (0, min(t for i, t in rows if i == 0)) in kept
