@@ -1,11 +1,18 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
-Statistics of a text are counted with array functions in its own row. They are transformed to a
-vector; for each language and source (pooled over sources, then over all, where a group is small)
-the mean and covariance come from concentration steps: keep the share H of a group's rows that lie
-nearest, estimate again. A row is rejected when its squared Mahalanobis distance exceeds CUTOFF.
-Groups are only ever aggregated - sums, products and a histogram of log distances with a bounded
-number of bins - so that a group with a third of all rows costs one row a bin and task.
+Statistics of a text are counted with array functions in its own row and transformed to a vector.
+For each language and source the mean and covariance are those of the share H of its rows whose
+covariance has the least determinant, searched from several starts: all rows, the spatial signs
+about the medians, and the rows near the medians in every statistic. From each, concentration
+steps keep the share H of the group's rows that lie nearest and estimate again, until no
+determinant falls any more; the start that ends at the least one counts. A row is rejected when
+its squared Mahalanobis distance exceeds CUTOFF.
+
+A group's sums take in LEAST rows' worth of its language's, and these of all rows', so that small
+groups lean on the larger ones smoothly and a single row has an estimate too. Groups are only ever
+aggregated - sums, products, quartile sketches and a histogram of log distances with a bounded
+number of bins - so that a group with a third of all rows costs one row a bin and task. The nearest
+share H ends with a whole bin (a sixteenth of a unit of the logarithm).
 
 Defined results: a null or empty text has no words and is base_failed; a null lang or source is a
 group of its own; repeated rows are separate rows; an empty table gives no rows; other columns
@@ -23,13 +30,17 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import forget, materialize, same, words
 
-#: Share of a group's rows that concentration keeps, steps, and rows a group needs of its own.
-H, STEPS, LEAST = 0.75, 5, 100
+#: Share of a group's rows that concentration keeps, steps at most, fall of the determinant's logarithm
+#: that ends them, and rows of the larger group that a group takes in.
+H, STEPS, SETTLED, LEAST = 0.75, 12, 0.02, 50
+#: Starts, and how many deviations from the median a row of the last may lie in any statistic.
+STARTS, NEAR = ("all", "signs", "near"), 2.0
 #: Squared distance beyond which a row is rejected: about the chi-squared quantile with five degrees
 #: of freedom at 1 - 1e-7, as the statistics have heavier tails than a normal's.
 CUTOFF = 41.0
-#: Mean of the squared distances of the nearest H of a five-dimensional normal, over 5, undone.
-CONSISTENCY = 1.46
+#: What makes the covariance of the nearest H of a five-dimensional normal consistent: H over the
+#: chi-squared probability with seven degrees of freedom at the quantile H with five.
+CONSISTENCY = 1.4125
 #: Floors under the standard deviations of the transformed statistics.
 FLOORS = (0.25, 0.05, 0.10, 0.10, 0.10)
 D = len(FLOORS)
@@ -85,85 +96,129 @@ def vector() -> list[Column]:
 
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
-#: Levels at which groups are pooled: the columns that tell groups apart.
+#: Levels of groups: the columns that tell them apart.
 LEVELS = (("lang", "source"), ("lang",), ())
+GROUP = ("start", "level", "g_lang", "g_source")
+SUMS = ("n", *(f"s_{x}" for x in X), *(f"p{i}_{j}" for i, j in PAIRS))
 
 
-def moments(rows: DataFrame, weight: Column) -> DataFrame:
-    """Count, sums and products of the weighted rows of each (level, lang, source)."""
-    w = weight.cast("double")
-    sums = [F.sum(w).alias("n"), *[F.sum(w * F.col(x)).alias(f"s_{x}") for x in X], *[F.sum(w * F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i, j in PAIRS]]
-    return rows.groupBy("level", "g_lang", "g_source").agg(*sums)
+def on_group(prefix: str, columns: tuple[str, ...] = GROUP) -> Column:
+    return reduce(lambda a, b: a & b, (same(F.col(c), F.col(f"{prefix}_{c}")) for c in columns))
+
+
+def renamed(df: DataFrame, prefix: str, columns: tuple[str, ...] = GROUP) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in columns})
+
+
+def moments(rows: DataFrame) -> DataFrame:
+    """Count, sums and products of the rows of each group."""
+    sums = [F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i, j in PAIRS]]
+    return rows.groupBy(*GROUP).agg(*sums)
+
+
+def leaning(sums: DataFrame, least: float = LEAST) -> DataFrame:
+    """Adds to each group's sums those of ``least`` rows of the larger group that holds it."""
+    larger = sums.where("level = 2")
+    out = larger
+    for level in (1, 0):
+        lang = F.col("g_lang") if level == 0 else F.lit(None).cast("string")
+        per_row = larger.select(F.col("start").alias("u_start"), F.col("g_lang").alias("u_lang"), *[(F.col(c) / F.col("n") * least).alias(f"u_{c}") for c in SUMS])
+        larger = sums.where(F.col("level") == level).join(per_row, (F.col("start") == F.col("u_start")) & same(lang, F.col("u_lang")), "left")
+        larger = larger.select(*GROUP, *[(F.col(c) + F.coalesce(f"u_{c}", F.lit(0.0))).alias(c) for c in SUMS])
+        out = out.union(larger)
+    return out
 
 
 def estimate(sums: DataFrame, scale: float) -> DataFrame:
-    """Means and the Cholesky factor of the covariance of each group, by closed expressions."""
-    d = sums.select("level", "g_lang", "g_source", "n", *[(F.col(f"s_{x}") / F.col("n")).alias(f"m_{x}") for x in X], *[F.col(f"p{i}_{j}") for i, j in PAIRS])
+    """Means, the Cholesky factor of the covariance and the logarithm of its determinant of each
+    group, by closed expressions."""
+    d = sums.select(*GROUP, *[(F.col(f"s_{x}") / F.col("n")).alias(f"m_{x}") for x in X], *[(F.col(f"p{i}_{j}") / F.col("n")).alias(f"p{i}_{j}") for i, j in PAIRS])
     for i, j in PAIRS:
-        c = (F.col(f"p{i}_{j}") / F.col("n") - F.col(f"m_{X[i]}") * F.col(f"m_{X[j]}")) * scale
+        c = (F.col(f"p{i}_{j}") - F.col(f"m_{X[i]}") * F.col(f"m_{X[j]}")) * scale
         d = d.withColumn(f"c{i}_{j}", F.greatest(c, F.lit(0.0)) + F.lit(FLOORS[i] ** 2) if i == j else c)
     for j in range(D):
         for i in range(j, D):
             rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), F.col(f"c{i}_{j}"))
             d = d.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return d.select(F.col("level").alias("e_level"), F.col("g_lang").alias("e_lang"), F.col("g_source").alias("e_source"), F.col("n").alias("e_n"), *[f"m_{x}" for x in X], *[f"l{i}_{j}" for i, j in PAIRS])
+    det = reduce(lambda a, i: a + 2 * F.log(f"l{i}_{i}"), range(1, D), 2 * F.log("l0_0"))
+    return renamed(d.select(*GROUP, det.alias("logdet"), *[f"m_{x}" for x in X], *[f"l{i}_{j}" for i, j in PAIRS]), "e")
 
 
 def with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance to the row's group, by forward substitution."""
-    on = (F.col("level") == F.col("e_level")) & same(F.col("g_lang"), F.col("e_lang")) & same(F.col("g_source"), F.col("e_source"))
-    d = rows.join(groups, on)
+    """The rows once for each estimate of their group: adds start, and d2, the squared Mahalanobis
+    distance, by forward substitution."""
+    d = rows.join(groups, on_group("e", GROUP[1:]))
     for i in range(D):
         rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"y{k}"), range(i), F.col(X[i]) - F.col(f"m_{X[i]}"))
         d = d.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
-    return d.withColumn("d2", reduce(lambda a, i: a + F.col(f"y{i}") * F.col(f"y{i}"), range(1, D), F.col("y0") * F.col("y0"))).select(*rows.columns, "d2")
+    d2 = reduce(lambda a, i: a + F.col(f"y{i}") * F.col(f"y{i}"), range(1, D), F.col("y0") * F.col("y0"))
+    return d.withColumn("d2", d2).withColumnRenamed("e_start", "start").select(*rows.columns, "start", "d2")
 
 
 def nearest(rows: DataFrame) -> DataFrame:
     """The rows whose distance lies among the nearest H of their group, from a histogram."""
     bin_ = F.least(F.greatest(F.floor(F.log(F.col("d2") + 1e-6) * PER_UNIT) + BINS // 2, F.lit(0)), F.lit(BINS))
     rows = rows.withColumn("bin", bin_)
-    counts = rows.groupBy("level", "g_lang", "g_source", "bin").agg(F.count("*").alias("c"))
-    group = W.partitionBy("level", "g_lang", "g_source")
+    counts = rows.groupBy(*GROUP, "bin").agg(F.count("*").alias("c"))
+    group = W.partitionBy(*GROUP)
     counts = counts.withColumn("before", F.sum("c").over(group.orderBy("bin")) - F.col("c")).withColumn("all", F.sum("c").over(group))
-    last = counts.where(F.col("before") < F.col("all") * H).groupBy("level", "g_lang", "g_source").agg(F.max("bin").alias("h_bin"))
-    last = last.select(F.col("level").alias("h_level"), F.col("g_lang").alias("h_lang"), F.col("g_source").alias("h_source"), "h_bin")
-    on = (F.col("level") == F.col("h_level")) & same(F.col("g_lang"), F.col("h_lang")) & same(F.col("g_source"), F.col("h_source"))
-    return rows.join(last, on).where(F.col("bin") <= F.col("h_bin"))
+    last = renamed(counts.where(F.col("before") < F.col("all") * H).groupBy(*GROUP).agg(F.max("bin").alias("h_bin")), "h")
+    return rows.join(last, on_group("h")).where(F.col("bin") <= F.col("h_bin"))
+
+
+def first_rows(members: DataFrame) -> DataFrame:
+    """The rows that each start takes its first estimate from."""
+    quartiles = renamed(members.groupBy(*GROUP[1:]).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in X]), "e", GROUP[1:])
+    d = members.join(quartiles, on_group("e", GROUP[1:]))
+    # Deviations from the median in units of the quartiles' distance, which is 1.349 for a normal.
+    scales = {x: F.greatest((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349, F.lit(f)) for x, f in zip(X, FLOORS, strict=True)}
+    z = {x: (F.col(x) - F.col(f"q_{x}")[1]) / scales[x] for x in X}
+    length = F.sqrt(reduce(lambda a, b: a + b, (v * v for v in z.values())))
+    signs = [(F.col(f"q_{x}")[1] + scales[x] * z[x] * math.sqrt(D) / F.greatest(length, F.lit(1e-9))).alias(x) for x in X]
+    near = F.greatest(*[F.abs(v) for v in z.values()]) <= NEAR
+    of = [F.lit(name).alias("start") for name in STARTS]
+    return d.select(of[0], *GROUP[1:], *X).union(d.select(of[1], *GROUP[1:], *signs)).union(d.where(near).select(of[2], *GROUP[1:], *X))
+
+
+def estimates(members: DataFrame) -> DataFrame:
+    """The estimate of each group from the start that comes to the least determinant."""
+    sums = materialize(leaning(moments(first_rows(members))), "moments")
+    names = [f"e_{c}" for c in GROUP]
+    for step in range(STEPS):
+        new = materialize(leaning(moments(nearest(with_distance(members, estimate(sums, 1.0))))), "moments")
+        old = renamed(estimate(sums, 1.0).select(*names, F.col("logdet").alias("old")), "o", tuple(names))
+        fall = estimate(new, 1.0).join(old, on_group("o", tuple(names))).agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
+        forget(sums)
+        sums = new
+        # The first step may raise a determinant: a start's rows need not be a share H.
+        if fall is None or step and fall < SETTLED:
+            break
+    best = estimate(sums, 1.0).groupBy(*names[1:]).agg(F.min_by("e_start", F.struct("logdet", "e_start")).alias("e_start"))
+    return materialize(estimate(sums.join(best, on_group("e"), "left_semi"), CONSISTENCY), "groups")
+
+
+def distances(vectors: DataFrame) -> DataFrame:
+    """Adds d2, the squared distance to the estimate of the row's lang and source, to rows with
+    lang, source, x0 .. x4 and whatever other columns."""
+
+    def at(level: int, *more: str) -> DataFrame:
+        """The rows as members of their group of a level."""
+        names = [(F.col(c) if c in LEVELS[level] else F.lit(None).cast("string")).alias(f"g_{c}") for c in ("lang", "source")]
+        return vectors.select(F.lit(level).alias("level"), *names, *X, *more)
+
+    found = estimates(reduce(DataFrame.union, [at(level) for level in range(len(LEVELS))]))
+    return with_distance(at(0, *[c for c in vectors.columns if c not in X]), found).select(*vectors.columns, "d2")
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, n_words, the four statistics, base_failed, kept and distance (null where base_failed)."""
-    stats = materialize(statistics(docs).withColumn("base_failed", base_failed()), "stats")
-    vectors = stats.where(~F.col("base_failed"))
+    counts = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    stats = statistics(docs).withColumn("base_failed", base_failed())
     for x, c in zip(X, vector(), strict=True):
-        vectors = vectors.withColumn(x, c)
-    sizes = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = W.partitionBy("lang")
-    sizes = sizes.withColumn("level", F.when(F.col("n") >= LEAST, 0).when(F.sum("n").over(by_lang) >= LEAST, 1).otherwise(2))
-    sizes = materialize(sizes.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "level"), "levels")
-    used = [r[0] for r in sizes.select("level").distinct().collect()]
-    if not used:
-        return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed")).alias("kept"), F.lit(None).cast("double").alias("distance"))
-
-    def at(rows: DataFrame, level: int) -> DataFrame:
-        """The rows as members of their group of a level."""
-        names = LEVELS[level]
-        return rows.select(F.lit(level).alias("level"), *[(F.col(c) if c in names else F.lit(None).cast("string")).alias(f"g_{c}") for c in ("lang", "source")], *X)
-
-    members = reduce(DataFrame.union, [at(vectors, level) for level in sorted(used)])
-    # Start: the mean and the diagonal of all rows with room for outliers; steps concentrate it.
-    groups = materialize(estimate(moments(members, F.lit(1)), 1.0), "groups")
-    for step in range(STEPS):
-        kept = nearest(with_distance(members, groups))
-        found = materialize(estimate(moments(kept, F.lit(1)), CONSISTENCY if step == STEPS - 1 else 1.0), "groups")
-        forget(groups)
-        groups = found
-    on = same(F.col("lang"), F.col("_lang")) & same(F.col("source"), F.col("_source"))
-    mine = vectors.join(sizes, on).withColumn("g_lang", F.when(F.col("level") < 2, F.col("lang"))).withColumn("g_source", F.when(F.col("level") < 1, F.col("source")))
-    scored = with_distance(mine, groups).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("d2") <= cutoff).alias("kept"), F.col("d2").alias("distance"))
-    failed = stats.where("base_failed").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    return scored.union(failed)
+        stats = stats.withColumn(x, c)
+    stats = materialize(stats.withColumns({c: F.col(c).cast("string") for c in ("lang", "source")}), "stats")
+    scored = distances(stats.where(~F.col("base_failed"))).select(*counts, (F.col("d2") <= cutoff).alias("kept"), F.col("d2").alias("distance"))
+    return scored.union(stats.where("base_failed").select(*counts, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
 
 
 assert math.isclose(H, 0.75)  # CONSISTENCY belongs to this share

@@ -151,12 +151,56 @@ def test_quality_cholesky(spark):
     """Distances against numpy for one group."""
     r = np.random.default_rng(4)
     x = r.normal(size=(300, quality.D))
-    d = spark.createDataFrame([(0, None, None, *map(float, v)) for v in x], "level int, g_lang string, g_source string, " + ", ".join(f"{c} double" for c in quality.X))
-    groups = quality.estimate(quality.moments(d, F.lit(1)), 1.0)
-    got = sorted(v.d2 for v in quality.with_distance(d, groups).collect())
+    d = spark.createDataFrame([("all", 2, None, None, *map(float, v)) for v in x], "start string, level int, g_lang string, g_source string, " + ", ".join(f"{c} double" for c in quality.X))
+    groups = quality.estimate(quality.moments(d), 1.0)
+    got = sorted(v.d2 for v in quality.with_distance(d.drop("start"), groups).collect())
     cov = np.cov(x.T, bias=True) + np.diag(np.array(quality.FLOORS) ** 2)
     y = x - x.mean(0)
     assert np.allclose(got, sorted(np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)), rtol=1e-6)
+    det = spark.createDataFrame(groups.select("logdet").collect()).first()[0]
+    assert np.isclose(det, np.linalg.slogdet(cov)[1])
+
+
+def least_determinant(x, seed):
+    """Squared distances by many random starts, concentration over the exact nearest rows."""
+    r, h, floors = np.random.default_rng(seed), int(np.ceil(quality.H * len(x))), np.diag(np.array(quality.FLOORS) ** 2)
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    best = (np.inf, None)
+    for _ in range(200):
+        rows = r.choice(len(x), quality.D + 1, replace=False)
+        for _ in range(30):
+            m, c = x[rows].mean(0), np.cov(x[rows].T, bias=True)
+            new = np.argsort(far(m, c + floors))[:h]
+            if set(new) == set(rows):
+                break
+            rows = new
+        best = min(best, (np.linalg.slogdet(c + floors)[1], tuple(rows)))
+    rows = list(best[1])
+    return far(x[rows].mean(0), np.cov(x[rows].T, bias=True) * quality.CONSISTENCY + floors)
+
+
+def test_quality_least_determinant(spark):
+    """Verdicts of groups with up to 24% outliers of several kinds against brute force; small
+    groups lean on the larger ones."""
+    r = np.random.default_rng(8)
+    rows, want, planted = [], [], []
+    for g, share in enumerate((0.05, 0.15, 0.24)):
+        n = 700
+        x = r.normal(size=(n, quality.D)) @ (np.eye(quality.D) + 0.3 * r.normal(size=(quality.D, quality.D))) + g
+        bad = int(share * n)
+        kinds = np.array([[14.0, 0, 0, 0, 0], [0, -12, 0, 0, 12], [0, 0, 16, 9, 0]])
+        x[:bad] += kinds[np.arange(bad) % 3]
+        far = least_determinant(x, g) > quality.CUTOFF
+        rows += [(len(rows) + i, f"l{g}", "s", *map(float, v)) for i, v in enumerate(x)]
+        want += far.tolist()
+        planted += [i < bad for i in range(n)]
+    rows += [(len(rows) + i, "l0", f"t{i}", *([0.0] * quality.D)) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} double" for c in quality.X))
+    got = {v.doc_id: v.d2 for v in quality.distances(d).collect()}
+    far = np.array([got[i] > quality.CUTOFF for i in range(len(rows))])
+    assert np.array(planted)[far[: len(want)]].mean() > 0.99 and far[: len(want)][np.array(planted)].all()
+    assert (far[: len(want)] == np.array(want)).mean() > 0.995
+    assert not far[len(want) :].any()
 
 
 def test_quality_empty(empty):
