@@ -151,14 +151,13 @@ def test_quality_cholesky(spark):
     """Distances against numpy for one group."""
     r = np.random.default_rng(4)
     x = r.normal(size=(300, quality.D))
-    d = spark.createDataFrame([("all", 2, None, None, *map(float, v)) for v in x], "start string, level int, g_lang string, g_source string, " + ", ".join(f"{c} double" for c in quality.X))
-    groups = quality.estimate(quality.moments(d), 1.0)
+    d = spark.createDataFrame([("all", None, None, *map(float, v)) for v in x], "start string, lang string, source string, " + ", ".join(f"{c} double" for c in quality.X))
+    groups = quality.estimate(quality.moments(d, *quality.GROUP), quality.pools(d).limit(0), 1.0)
     got = sorted(v.d2 for v in quality.with_distance(d.drop("start"), groups).collect())
     cov = np.cov(x.T, bias=True) + np.diag(np.array(quality.FLOORS) ** 2)
     y = x - x.mean(0)
     assert np.allclose(got, sorted(np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)), rtol=1e-6)
-    det = spark.createDataFrame(groups.select("logdet").collect()).first()[0]
-    assert np.isclose(det, np.linalg.slogdet(cov)[1])
+    assert np.isclose(groups.first()["logdet"], np.linalg.slogdet(cov)[1])
 
 
 def least_determinant(x, seed):
