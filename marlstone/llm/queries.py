@@ -57,7 +57,9 @@ def op8_logindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    # The passages as text: start:end:e-value of each, in tokens.
+    passages = F.array_join(F.transform("segments", lambda x: F.format_string("%d:%d:%.2e", x["start"], x["end"], x["e_value"])), ",")
+    return scored.select("doc_id", "held_out", "score", "predicted", passages.alias("passages"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

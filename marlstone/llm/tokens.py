@@ -378,4 +378,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     return read(docs.sparkSession, folder)
 
 
-__all__ = ["materialize", "round_trip", "read", "write", "ranking", "pack", "unpack", "decode", "blocks"]
+__all__ = ["round_trip", "read", "write", "pack", "unpack", "decode", "blocks"]

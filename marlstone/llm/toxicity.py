@@ -5,8 +5,9 @@ occurs; log-odds with an informative Dirichlet prior, the words' shares in both
 that tell the kinds apart. Each toxic text then credits its most telling words, and only words that
 some texts credit stay: words that merely keep company with these in copies of a text do not. Scoring walks a text once: a token scores its log-odds less a drift, so
 that ordinary text runs downhill, and the linear-time scan finds all maximal segments. Segments are
-judged as in local alignment: with lambda from the clean texts' token scores, a segment of score S
-in n tokens has about K n exp(-lambda S) equals by chance. A text's statistic adds up its segments'
+judged as in local alignment: a segment of score S in n tokens has about K n exp(-lambda S) equals
+by chance. Lambda and K are those that make the highest segments of clean training texts likeliest;
+where too few of these have any segment, lambda follows from their token scores. A text's statistic adds up its segments'
 rarity; a logistic curve over it, fitted on the training rows, gives the score.
 
 Labels are fitted on at most SAMPLE labelled rows, taken by hash: these can be broadcast, so that
@@ -35,8 +36,9 @@ from pyspark.sql import types as T
 
 from marlstone.llm.common import DOUBLE, INT, LONG, STRING, forget, materialize, schema
 
-#: Labelled rows that training takes at most (about), words and stems the model holds at most.
-SAMPLE, LEXICON = 200_000, 50_000
+#: Labelled rows that training takes at most (about). The model's words and stems each tell and occur in
+#: LEAST_TEXTS of these: no more than their word occurrences by LEAST_TEXTS.
+SAMPLE = 200_000
 #: Weight of the prior in texts; of a scored word: least signed root of the likelihood ratio, least
 #: texts it occurs in, least texts that credit it.
 PRIOR, LEAST_ROOT, LEAST_TEXTS, LEAST_CREDITS = 50.0, 4.5, 4, 2
@@ -45,7 +47,8 @@ CLOSE = 0.5
 #: Drift of a token's score, and bounds of its log-odds.
 DRIFT, LOW, HIGH = 0.1, -1.0, 8.0
 STEMS = (4, 5, 6)
-K = 0.1
+#: K, and clean texts with a segment that it takes to estimate it and lambda instead.
+K, LEAST_MAXIMA = 0.1, 30
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words whose scores a task keeps.
 CACHE = 500_000
@@ -133,9 +136,9 @@ class Scorer:
         return len(words), scores, segments(places, scores)
 
 
-def statistic(n: int, found: list[float], rate: float) -> float:
-    """How rare a text's segments are: log(1 + sum of 1 / (K n exp(-rate S))); 0 without any."""
-    base = math.log(K * max(n, 1))
+def statistic(n: int, found: list[float], rate: float, k: float = K) -> float:
+    """How rare a text's segments are: log(1 + sum of 1 / (k n exp(-rate S))); 0 without any."""
+    base = math.log(k * max(n, 1))
     top = max(0.0, max(found, default=0.0) * rate - base)
     return top + math.log(math.exp(-top) + sum(math.exp(s * rate - base - top) for s in found))
 
@@ -195,6 +198,22 @@ def decay(counts: dict[int, int]) -> float:
     return low
 
 
+def extremes(maxima: list[tuple[float, int, int]], rate: float) -> tuple[float, float]:
+    """lambda and K that make the highest segments of clean texts likeliest, from (score, texts,
+    their tokens), where 0 stands for texts without a segment: the chance that a text of n tokens
+    has none above s is exp(-K n exp(-lambda s))."""
+    score, texts, tokens = (np.array(x, float) for x in zip(*maxima, strict=True)) if maxima else [np.zeros(0)] * 3
+    have = score > 0
+    n = texts[have].sum()
+    if n < LEAST_MAXIMA:
+        return rate, K
+    best = (-math.inf, rate, K)
+    for x in np.geomspace(rate / 8, rate * 8, 385):
+        k = n / (tokens * np.exp(-x * score)).sum()
+        best = max(best, (n * math.log(k) + n * math.log(x) - x * (texts * score)[have].sum(), x, k))
+    return float(best[1]), float(best[2])
+
+
 def fit(values: dict[tuple[int, int], int]) -> tuple[float, float]:
     """Slope and offset of a logistic curve over binned statistics: {(bin, toxic): rows}."""
     if len({t for _, t in values}) < 2:
@@ -219,8 +238,15 @@ def fit(values: dict[tuple[int, int], int]) -> tuple[float, float]:
 
 
 class Model:
-    def __init__(self, lexicon: dict, rate: float, slope: float, offset: float):
-        self.lexicon, self.rate, self.slope, self.offset = lexicon, rate, slope, offset
+    def __init__(self, lexicon: dict, rate: float, slope: float, offset: float, k: float = K):
+        self.lexicon, self.rate, self.slope, self.offset, self.k = lexicon, rate, slope, offset, k
+
+    def statistic(self, n: int, found: list[float]) -> float:
+        return min(statistic(n, found, self.rate, self.k), TOP)
+
+    def expected(self, n: int, score: float) -> float:
+        """The e-value of a segment: how many as high a text of n tokens has by chance."""
+        return self.k * n * math.exp(-min(self.rate * score, 700))
 
     def probability(self, x: float) -> float:
         return 1 / (1 + math.exp(-min(max(self.slope * x + self.offset, -50), 50)))
@@ -236,8 +262,8 @@ def training(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_l")).select("text", "toxic")
 
 
-def lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
-    """{word or stem: log-odds} of at most ``most`` words that tell toxic texts and are credited."""
+def lexicon(rows: DataFrame) -> dict[str, float]:
+    """{word or stem: log-odds} of the words that tell toxic texts and are credited."""
     counts = materialize(rows.mapInArrow(count_words, COUNTS).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") + F.col("c") >= LEAST_TEXTS), "words")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = float(sizes.get(1, 0)), float(sizes.get(0, 0))
@@ -250,7 +276,7 @@ def lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
     rest, all_ = F.lit(toxic + clean) - both, toxic + clean
     ratio = part(F.col("t"), both * toxic / all_) + part(F.col("c"), both * clean / all_) + part(toxic - F.col("t"), rest * toxic / all_) + part(clean - F.col("c"), rest * clean / all_)
     scored = counts.withColumn("delta", odds(F.col("t"), toxic) - odds(F.col("c"), clean)).withColumn("root", F.sqrt(F.greatest(2 * ratio, F.lit(0.0))))
-    top = scored.where((F.col("root") >= LEAST_ROOT) & (F.col("delta") > 0)).orderBy(F.col("root").desc(), "word").limit(most).select("word", "delta").collect()
+    top = scored.where((F.col("root") >= LEAST_ROOT) & (F.col("delta") > 0)).select("word", "delta").collect()
     found = {r.word: r.delta for r in top}
     named = rows.where("toxic = 1").select("text").mapInArrow(credits(found), schema(word=STRING, n=LONG)).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_CREDITS).collect()
     return {r.word: min(found[r.word], HIGH) for r in named}
@@ -267,25 +293,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bins = clean.select(F.explode("bins").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()
     tokens = clean.agg(F.sum(F.col("n").cast("long") - F.size("bins"))).first()[0] or 0
     rate = decay({-1: tokens} | {r.b: r.n for r in bins})
-    stats = scanned.mapInArrow(to_statistics(rate), schema(toxic=INT, x=DOUBLE)).groupBy(F.round(F.col("x") * 4).cast("int").alias("b"), "toxic").agg(F.count("*").alias("n")).collect()
+    top = F.coalesce(F.round(F.array_max("found") * 16) / 16, F.lit(0.0)).alias("top")
+    maxima = clean.groupBy(top).agg(F.count("*").alias("texts"), F.sum(F.col("n").cast("long")).alias("tokens")).collect()
+    rate, k = extremes([(r.top, r.texts, r.tokens) for r in maxima], rate)
+    stats = scanned.mapInArrow(to_statistics(rate, k), schema(toxic=INT, x=DOUBLE)).groupBy(F.round(F.col("x") * 4).cast("int").alias("b"), "toxic").agg(F.count("*").alias("n")).collect()
     slope, offset = fit({(r.b, r.toxic): r.n for r in stats})
-    return Model(words, rate, slope, offset)
+    forget(scanned)
+    return Model(words, rate, slope, offset, k)
 
 
 #: Statistics beyond this are as good as certain.
 TOP = 250.0
 
 
-def to_statistics(rate: float):
+def to_statistics(rate: float, k: float = K):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [min(statistic(n, found, rate), TOP) for n, found in zip(batch.column("n").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            x = [min(statistic(n, found, rate, k), TOP) for n, found in zip(batch.column("n").to_pylist(), batch.column("found").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], names=["toxic", "x"])
 
     return scan
 
 
-SEGMENT = T.StructType([T.StructField("start", INT), T.StructField("end", INT), T.StructField("score", DOUBLE)])
+#: The e-value up to which a segment is significant.
+SIGNIFICANT = 0.05
+SEGMENT = T.StructType([T.StructField("start", INT), T.StructField("end", INT), T.StructField("score", DOUBLE), T.StructField("e_value", DOUBLE)])
 SCORES = schema(doc_id=LONG, score=DOUBLE, n_segments=INT, top_start=INT, top_end=INT, segments=T.ArrayType(SEGMENT))
 
 
@@ -296,12 +328,12 @@ def to_scores(model: Model):
             out = []
             for text in batch.column("text").to_pylist():
                 n, _, parts = scorer.text(text)
-                x = min(statistic(n, [s for *_, s in parts], model.rate), TOP)
-                rare = [p for p in parts if K * n * math.exp(-min(model.rate * p[2], 700)) < 0.05]
+                x = model.statistic(n, [s for *_, s in parts])
+                rare = [p for p in parts if model.expected(n, p[2]) < SIGNIFICANT]
                 top = max(rare, key=lambda p: p[2], default=(0, 0, 0.0))
-                found = [{"start": a, "end": b, "score": s} for a, b, s in sorted(rare)]
+                found = [{"start": a, "end": b, "score": s, "e_value": model.expected(n, s)} for a, b, s in sorted(rare)]
                 out.append((model.probability(x), len(rare), top[0], top[1], found))
-            segment = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+            segment = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())])
             kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(segment))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=SCORES.names)
@@ -312,7 +344,7 @@ def to_scores(model: Model):
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, and its significant passages: their number,
     the tokens of the highest (from, to; 0, 0 where there is none), and segments, an array of the
-    start, end and score of all in order."""
+    start, end, score and e-value of all in order."""
     model = train(docs, labels, sample)
     scored = docs.select("doc_id", "text").mapInArrow(to_scores(model), SCORES)
     return scored.select("doc_id", folded(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", "top_start", "top_end", "segments")
@@ -326,7 +358,7 @@ def rejects(model: Model):
         out = []
         for t in texts:
             n, _, parts = scorer.text(t)
-            out.append(model.probability(min(statistic(n, [s for *_, s in parts], model.rate), TOP)) >= 0.5)
+            out.append(model.probability(model.statistic(n, [s for *_, s in parts])) >= 0.5)
         return pd.Series(out)
 
     return toxic
