@@ -13,8 +13,8 @@ Links (a spanning forest of each group's) go through distributed connected compo
 
 ``representatives`` is to find texts whose five-word shingles are alike to 0.8, which the radius of
 ``near_duplicates`` misses half of. It searches fingerprints of shorter shingles within a wider
-radius, and a second fingerprint, of shingles yet shorter, must confirm each link: unrelated texts
-seldom pass the first test and hardly ever both, so that a large corpus isn't chained together.
+radius, and a second fingerprint, of other shingles, must confirm each link: unrelated texts seldom
+pass the first test and hardly ever both, so that a large corpus isn't chained together.
 
 Defined results: null and empty texts have fingerprint zero; repeated rows share a component; a
 null doc_id takes part and never names a component (a component of null ids alone has null); an
@@ -38,7 +38,7 @@ from marlstone.llm.common import LONG, connected_components, forget, materialize
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: The same for representatives(): words of the searched and the confirming shingles, and radii.
-NEAR_WIDTHS, NEAR_RADIUS, CONFIRM_RADIUS = (3, 2), 10, 12
+NEAR_WIDTHS, NEAR_RADIUS, CONFIRM_RADIUS = (2, 3), 7, 12
 #: Fingerprints whose comparison costs as much as one more band, and those a tile holds at most.
 PER_BAND, TILE = 1024, 2048
 
