@@ -3,6 +3,12 @@ documents that hold benchmark items go, sources are mixed to target weights, tok
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. The labels that teach the first stage and the benchmark of the third lie in sf_dir.
+
+Defined results: a null text is empty; it holds no item and counts no words in mixing, where it is
+taken as often as its hash says. Empty texts are near copies of each other. Rows without a doc_id may
+be toxic, are never near copies or contaminated, and share a hash in mixing. Of rows with one doc_id
+the one with the least text stays. An empty table gives no rows. Other columns go through every stage
+but the last.
 """
 
 from __future__ import annotations
@@ -42,7 +48,8 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: Fingerprints, log-odds and token ids have no SQL form; tests hold the stages against brute force.
+#: Fingerprints, log-odds and token ids have no SQL form. Tests hold the operators against brute force,
+#: and the pipeline's stages by their columns and counts.
 ORACLE_SQL = None
 
 
