@@ -6,8 +6,8 @@ differ by more than the radius are skipped. Tiles of all fingerprints would be q
 corpus, so they are laid inside bands: cut 64 bits into BLOCKS or more blocks, and two fingerprints
 within RADIUS bits agree on all but RADIUS of them. For each choice of agreeing blocks, fingerprints
 with the same bits there meet; the number of blocks weighs bands against comparisons in them.
-No pair within the radius is lost. A band larger than TILE is cut into tiles by population count
-and hash, and each pair of tiles is a group of its own, so that no task holds a band.
+No pair within the radius is lost. A band larger than TILE is cut into tiles by ranges of population
+counts and by hash, and each pair of tiles is a group of its own, so that no task holds a band.
 
 Links (a spanning forest of each group's) go through distributed connected components.
 
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import LONG, connected_components, forget, materialize, release, schema
@@ -195,13 +196,21 @@ def links(distinct: DataFrame, n: int, radii: tuple[int, ...] = (RADIUS,), tile:
     else:
         on = (F.col("band") == F.col("b")) & (F.col("key") == F.col("k"))
         small = rows.join(large, on, "left_anti").select("band", "key", *zero, F.lit(0).alias("side"), "pop", *values)
-        # Tiles of a large band: its fingerprints of one population count, salted by hash.
-        tiles = materialize(counts.join(large, on).select("b", "k", F.col("pop").alias("tp"), F.ceil(F.col("n") / (tile // 2)).cast("int").alias("tiles")), "tiles")
-        mine = rows.join(tiles, on & (F.col("pop") == F.col("tp"))).select("band", "key", "pop", *values, F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("s"))
-        meets = mine.join(tiles, on & (F.abs(F.col("pop") - F.col("tp")) <= radius)).select("band", "key", "pop", *values, "s", "tp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("ts"))
-        ahead = (F.col("pop") < F.col("tp")) | ((F.col("pop") == F.col("tp")) & (F.col("s") <= F.col("ts")))
+        # Tiles of a large band: ranges of population counts with about half a tile of rows, those
+        # that hold more salted by hash. A row meets the tiles whose counts its own can pair with.
+        half = tile // 2
+        before = F.sum("n").over(W.partitionBy("b", "k").orderBy("tp").rowsBetween(W.unboundedPreceding, -1))
+        parts = counts.join(large, on).select("b", "k", F.col("pop").alias("tp"), "n")
+        parts = parts.withColumn("t", F.floor(F.coalesce(before, F.lit(0)) / half).cast("int"))
+        tiles = parts.groupBy("b", "k", "t").agg(F.min("tp").alias("low"), F.max("tp").alias("high"), F.ceil(F.sum("n") / half).cast("int").alias("tiles"))
+        tiles = materialize(tiles, "tiles")
+        own = on & F.col("pop").between(F.col("low"), F.col("high"))
+        mine = rows.join(tiles, own).select("band", "key", "pop", *values, F.col("t").alias("p"), F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("s"))
+        near = on & F.col("pop").between(F.col("low") - radius, F.col("high") + radius)
+        meets = mine.join(tiles, near).select("band", "key", "pop", *values, "p", "s", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("ts"))
+        ahead = (F.col("p") < F.col("t")) | ((F.col("p") == F.col("t")) & (F.col("s") <= F.col("ts")))
         pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
-        wide = meets.select("band", "key", pick("pop", "tp").alias("p1"), pick("s", "ts").alias("s1"), pick("tp", "pop").alias("p2"), pick("ts", "s").alias("s2"), F.when(ahead, 0).otherwise(1).alias("side"), "pop", *values)
+        wide = meets.select("band", "key", pick("p", "t").alias("p1"), pick("s", "ts").alias("s1"), pick("t", "p").alias("p2"), pick("ts", "s").alias("s2"), F.when(ahead, 0).otherwise(1).alias("side"), "pop", *values)
         groups = small.union(wide)
     groups = groups.repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "pop")
     return groups.select(*GROUP, "side", *values).mapInArrow(compare(radii), LINKS)
