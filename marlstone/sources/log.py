@@ -2,7 +2,8 @@
 
 CURRENT names the snapshot and the parts that count; it is replaced at once, so that a crash leaves
 the old state or the new. Each commit is one part (one Spark write); a checkpoint writes the live
-rows as a new snapshot and drops the parts. A reader keeps the CURRENT it has read.
+rows as a new snapshot. A reader keeps the CURRENT it has read: what a checkpoint replaces is deleted
+only by the checkpoint RETAINED further on, so that open readers and plans made before go on working.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from marlstone.sources.folder import Folder
 
 FORMAT, VERSION = "marlstone-log", 1
+#: Checkpoints that a replaced snapshot and its parts outlive.
+RETAINED = 2
 
 
 class ReadonlyError(RuntimeError):
@@ -61,6 +64,10 @@ class LogTable:
             return self.spark.createDataFrame([], self.kind)
         return self.spark.read.schema(self.kind).parquet(*[f"{self.folder.path}/{n}" for n in self.state["parts"]])
 
+    def last_part(self) -> DataFrame:
+        """The part committed last."""
+        return self.spark.read.schema(self.kind).parquet(f"{self.folder.path}/{self.state['parts'][-1]}")
+
     def next_seq(self, n: int = 1) -> int:
         """The first of n new numbers."""
         first = self.state["seq"] + 1
@@ -78,10 +85,12 @@ class LogTable:
             raise
 
     def checkpoint(self, live: DataFrame) -> None:
-        """Makes ``live`` the snapshot and drops what it replaces."""
+        """Makes ``live`` the snapshot; what it replaces goes RETAINED checkpoints later."""
         old = [n for n in (self.state["snapshot"], *self.state["parts"]) if n]
         name = self._write(live, "snapshot")
-        self.state.update(snapshot=name, parts=[])
+        replaced = [*self.state.get("replaced", []), old]
+        gone, kept = replaced[:-RETAINED], replaced[-RETAINED:]
+        self.state.update(snapshot=name, parts=[], replaced=kept)
         self._save()
-        for n in old:
+        for n in sum(gone, []):
             self.folder.delete(n)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.events import Events
@@ -48,6 +48,11 @@ def shaped(results: DataFrame, vectors: DataFrame, include_metadata: bool = True
     return vectors.select("key", *wanted).join(F.broadcast(results), "key", "right").select(*results.columns, *wanted)
 
 
+def newest() -> Column:
+    """The order of a key's records: by number, and in a batch, whose rows share one, by a hash."""
+    return F.struct("seq", F.xxhash64("vector", "sparse", "metadata"))
+
+
 class VectorStore:
     def __init__(self, spark: SparkSession, path: str | None = None, readonly: bool = False, lock_stale_after_ms: float | None = None, clock: Callable[[], int] = now_ms):
         self.spark, self.readonly, self.clock = spark, readonly, clock
@@ -98,7 +103,7 @@ class VectorStore:
         """Live vectors (key, vector, norm, sparse, metadata as a variant)."""
         fence = self.entry(name).fence
         rows = self.table.rows().where((F.col("index_name") == name) & (F.col("seq") > fence))
-        found = changelog.live(changelog.committed(rows), ("index_name", "key"))
+        found = changelog.live(changelog.committed(rows), ("index_name", "key"), newest())
         return found.select("key", "vector", "norm", "sparse", F.parse_json("metadata").alias("metadata"))
 
     def put_vectors(self, name: str, inputs: Sequence[Mapping]) -> None:
@@ -130,17 +135,29 @@ class VectorStore:
         self.events.emit("put_vectors", name, [x["key"] for x in inputs])
 
     def put_frame(self, name: str, rows: DataFrame) -> None:
-        """Puts a batch (key, vector?, sparse?, metadata as JSON text?) as one commit."""
+        """Puts a batch (key, vector?, sparse?, metadata as JSON text?) as one commit, with the checks
+        of put_vectors. A batch has no order: of rows that repeat a key the one that newest() picks
+        stays, in every read. The event names no keys, which can be any number."""
         self._writable("put_vectors")
         entry = self.entry(name)
         for c, kind in (("vector", "array<float>"), ("sparse", VECTOR_LOG["sparse"].dataType), ("metadata", "string")):
             rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))
         bad = F.col("vector").isNotNull() & (F.size("vector") != entry.dimension)
         checked = F.when(bad, F.raise_error(F.lit(f"a vector's dimension is not {entry.dimension}")).cast("array<float>")).otherwise(F.col("vector").cast("array<float>"))
+        if not entry.sparse:
+            refused = F.raise_error(F.lit(f"index {name} holds no sparse vectors")).cast(VECTOR_LOG["sparse"].dataType)
+            rows = rows.withColumn("sparse", F.when(F.col("sparse").isNotNull(), refused))
+        rows = rows.withColumn("vector", checked)
+        # A row without a dense vector keeps the stored one; only such rows move.
+        stored = self.vectors(name).select(F.col("key").alias("_key"), F.col("vector").alias("_stored"))
+        lacking = rows.where(F.col("vector").isNull()).join(stored, F.col("key") == F.col("_key"), "left")
+        lacking = lacking.withColumn("vector", F.col("_stored")).select(*rows.columns)
+        rows = rows.where(F.col("vector").isNotNull()).unionByName(lacking)
         from marlstone.functions.distance import norm
 
-        rows = rows.withColumn("vector", checked).withColumns({"seq": F.lit(self.table.next_seq()).cast("long"), "txn_id": F.lit(None).cast("long"), "op": F.lit(changelog.PUT), "index_name": F.lit(name), "norm": norm(F.col("vector"))})
+        rows = rows.withColumns({"seq": F.lit(self.table.next_seq()).cast("long"), "txn_id": F.lit(None).cast("long"), "op": F.lit(changelog.PUT), "index_name": F.lit(name), "norm": norm(F.col("vector"))})
         self.table.append(rows.select(*VECTOR_LOG.names))
+        self.events.emit("put_vectors", name, None)
 
     def get_vectors(self, name: str, keys: Sequence[str]) -> list[dict]:
         """Records in the order asked for; missing keys are left out, repeated ones repeated."""
@@ -205,7 +222,7 @@ class VectorStore:
         rows = None
         for x in self.indexes.values():
             one = self.table.rows().where((F.col("index_name") == x.name) & (F.col("seq") > x.fence))
-            one = changelog.live(changelog.committed(one), ("index_name", "key"))
+            one = changelog.live(changelog.committed(one), ("index_name", "key"), newest())
             rows = one if rows is None else rows.union(one)
         if rows is None:
             rows = self.spark.createDataFrame([], VECTOR_LOG)
@@ -243,11 +260,13 @@ def reconciled(objects: ObjectStore, vectors: VectorStore, index: str, bucket: s
     lone_objects = reconcile.orphaned_objects(rows, there, mapper, prefix)
     removed = 0
     if not dry_run:
-        seq = vectors.table.next_seq()
         vectors._writable("reconcile")
-        gone = lone_vectors.withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit(changelog.DELETE), "index_name": F.lit(index)})
+        gone = lone_vectors.withColumns({"seq": F.lit(vectors.table.next_seq()).cast("long"), "op": F.lit(changelog.DELETE), "index_name": F.lit(index)})
         for f in VECTOR_LOG.fields:
             gone = gone if f.name in gone.columns else gone.withColumn(f.name, F.lit(None).cast(f.dataType))
-        removed = lone_vectors.count()
         vectors.table.append(gone.select(*VECTOR_LOG.names))
+        # Counted in the part just written, so that the anti join runs once.
+        removed = vectors.table.last_part().count()
+        if removed:
+            vectors.events.emit("delete_vectors", index, None)
     return lone_vectors, lone_objects, removed

@@ -392,3 +392,36 @@ def test_stream_equals_batch(spark, tmp_path):
     fold = lambda d: sorted((r.user_id, r.event_id) for r in changelog.last_writes(d, ["user_id"], "event_id").collect())
     assert ingest.log(spark, kind, log).count() == events.count()
     assert fold(ingest.log(spark, kind, log)) == fold(events)
+
+
+def test_readers_outlive_checkpoints(spark, tmp_path):
+    w = ObjectStore(spark, str(tmp_path / "s"))
+    w.put("b", "k", b"one")
+    reader, plan = ObjectStore(spark, str(tmp_path / "s"), readonly=True), w.objects()
+    w.checkpoint()
+    w.put("b", "k", b"two")
+    w.checkpoint()
+    assert bytes(reader.get("b", "k").data) == b"one" and plan.count() == 1
+    assert bytes(w.get("b", "k").data) == b"two"
+    w.checkpoint()
+    w.close()
+    assert sum(n.startswith("current-snapshot") for n in w.folder.names()) == 3
+
+
+def test_batches_of_vectors_are_checked_like_single_puts(spark, tmp_path):
+    v = VectorStore(spark, str(tmp_path / "v"))
+    v.create_index("i", 2)
+    seen = []
+    v.events.on("put_vectors", lambda name, keys: seen.append((name, keys)))
+    v.put_vectors("i", [{"key": "a", "vector": [1.0, 2.0], "metadata": {"x": 1}}])
+    v.put_frame("i", spark.createDataFrame([("a", '{"x": 2}')], "key string, metadata string"))
+    (row,) = v.get_vectors("i", ["a"])
+    assert row["vector"] == [1.0, 2.0] and row["metadata"] == '{"x":2}'
+    with pytest.raises(Exception, match="holds no sparse"):
+        v.put_frame("i", spark.createDataFrame([("b", ([1], [1.0]))], "key string, sparse struct<indices:array<int>,values:array<double>>"))
+    v.put_frame("i", spark.createDataFrame([("c", [float(x), 1.0]) for x in range(20)], "key string, vector array<float>").repartition(5))
+    first = v.get_vectors("i", ["c"])[0]["vector"]
+    v.checkpoint()
+    assert v.get_vectors("i", ["c"])[0]["vector"] == first and v.size("i") == 2
+    assert seen == [("i", ["a"]), ("i", None), ("i", None)]
+    v.close()
