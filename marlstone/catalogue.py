@@ -302,14 +302,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("source").alias("bucket"), key.alias("key"), F.encode("text", "UTF-8").alias("data"), "doc_id")
 
 
-@query("SELECT doc_id, octet_length(encode(text)) AS size, md5(text) AS digest, text FROM documents WHERE source = 'src3' AND doc_id < 500")
-def object_get(spark, sf_dir):
-    """A part, as its SQL has it; object_get_all reads every object."""
-    return read_whole(documents(spark, sf_dir).where((F.col("bucket") == "src3") & (F.col("doc_id") < 500)))
-
-
 @query("SELECT doc_id, octet_length(encode(text)) AS size, md5(text) AS digest, text FROM documents")
-def object_get_all(spark, sf_dir):
+def object_get(spark, sf_dir):
     return read_whole(documents(spark, sf_dir))
 
 
@@ -366,22 +360,13 @@ def object_range_header(spark, sf_dir):
     return rows.select("doc_id", "header", r["status"].alias("status"), r["start"].alias("start"), r["end"].alias("stop"))
 
 
-@query("""WITH s AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS size FROM documents WHERE doc_id % 10 = 1),
+@query("""WITH s AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS size FROM documents),
     c AS (SELECT doc_id, b, size, unnest(range(0, ((size + 999) // 1000)::BIGINT)) AS no FROM s)
     SELECT doc_id, no::INTEGER AS no, LEAST(1000, size - no * 1000)::BIGINT AS size, md5(hex(b[(no * 1000 + 1)::BIGINT:LEAST((no + 1) * 1000, size)::BIGINT])) AS digest FROM c""")
 def object_chunks(spark, sf_dir):
-    """A tenth, as its SQL has it; object_chunks_all cuts every object."""
-    return chunked(documents(spark, sf_dir).where(F.col("doc_id") % 10 == 1))
-
-
-def object_chunks_all(spark, sf_dir):
     return chunked(documents(spark, sf_dir))
 
 
-#: Without SQL: a test holds it against Python.
-QUERIES["object_chunks_all"] = object_chunks_all
-
-
 def chunked(rows: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", F.explode(O.chunks(F.col("data"), 1000)).alias("c"))
     return rows.select("doc_id", "c.no", F.octet_length("c.bytes").cast("long").alias("size"), F.md5(F.hex("c.bytes").cast("binary")).alias("digest"))
@@ -394,14 +379,8 @@ def object_concat_chunks(spark, sf_dir):
     return whole.select("conv_id", "n", O.size(F.col("data")).alias("size"), F.md5("data").alias("digest"))
 
 
-@query(f"""SELECT 'copies' AS bucket, 'copy/' || {KEY} AS key, '"' || md5(text) || '"' AS etag FROM documents WHERE source = 'src1' AND doc_id % 3 <> 0""")
-def object_copy(spark, sf_dir):
-    """A part, as its SQL has it; object_copy_all copies every object."""
-    return copied(documents(spark, sf_dir).where((F.col("bucket") == "src1") & (F.col("doc_id") % 3 != 0)))
-
-
 @query(f"""SELECT 'copies' AS bucket, 'copy/' || {KEY} AS key, '"' || md5(text) || '"' AS etag FROM documents""")
-def object_copy_all(spark, sf_dir):
+def object_copy(spark, sf_dir):
     return copied(documents(spark, sf_dir))
 
 
