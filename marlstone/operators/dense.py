@@ -15,6 +15,8 @@ from marlstone.functions.metadata import matches
 
 #: Vectors and queries of one group of the batch join.
 VECTORS, QUERIES = 50_000, 2_000
+#: Queries of a group whose distances are held at once.
+BLOCK = 64
 #: Candidates a query considers before a filter, if it is to be applied after the ranking.
 EF = 64
 
@@ -46,12 +48,22 @@ def top_k(
     return ranked.limit(k)
 
 
+def smallest(row: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least values in order; equal ones stay in order of places, NaN comes last."""
+    if k < len(row):
+        limit = np.partition(row, k - 1)[k - 1]
+        if not np.isnan(limit):
+            near = np.flatnonzero(row <= limit)
+            return near[np.argsort(row[near], kind="stable")[:k]]
+    return np.argsort(row, kind="stable")[:k]
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, rank, key, score): the k nearest of vectors (key, vector) for every query
     (query_id, vector), exactly.
 
     Vectors and queries are dealt into tiles by hash; each pair of tiles is one group, whose
-    distances numpy computes as a matrix and cuts to k a query. Only k rows a query and tile go on
+    distances numpy computes for BLOCK queries at a time and cuts to k a query. Only k rows a query and tile go on
     to the final ranking, so that neither side has to fit in a task or be broadcast."""
     n, m = vectors.count(), queries.count()
     tiles, blocks = max(1, -(-n // VECTORS)), max(1, -(-m // QUERIES))
@@ -61,15 +73,22 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     right = queries.select(every(tiles).alias("tile"), tile("query_id", blocks).alias("block"), "query_id", "vector")
     matrix = D.matrix
     key_type, id_type = vectors.schema["key"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, key {key_type}, score double")
 
     def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asked.empty:
             return pd.DataFrame({"query_id": asked["query_id"][:0], "key": rows["key"][:0], "score": np.zeros(0)})
         rows = rows.sort_values("key", kind="stable").reset_index(drop=True)
-        found = matrix(metric, np.stack(asked["vector"].to_numpy()), np.stack(rows["vector"].to_numpy()))
-        # Stable, so that equal distances stay in order of keys.
-        best = np.argsort(found, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), best.shape[1]), "key": rows["key"].to_numpy()[best.ravel()], "score": np.take_along_axis(found, best, axis=1).ravel()})
+        keys, data = rows["key"].to_numpy(), np.stack(rows["vector"].to_numpy())
+        asked_for, ids = np.stack(asked["vector"].to_numpy()), asked["query_id"].to_numpy()
+        parts = []
+        for at in range(0, len(ids), BLOCK):
+            found = matrix(metric, asked_for[at : at + BLOCK], data)
+            for i, row in enumerate(found):
+                best = smallest(row, k)
+                parts.append(pd.DataFrame({"query_id": np.repeat(ids[at + i], len(best)), "key": keys[best], "score": row[best]}))
+        return pd.concat(parts)
 
     pairs = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(nearest, f"query_id {id_type}, key {key_type}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "key"))

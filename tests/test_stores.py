@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,3 +426,18 @@ def test_batches_of_vectors_are_checked_like_single_puts(spark, tmp_path):
     assert v.get_vectors("i", ["c"])[0]["vector"] == first and v.size("i") == 2
     assert seen == [("i", ["a"]), ("i", None), ("i", None)]
     v.close()
+
+
+def test_smallest_keeps_ties_in_order():
+    r = np.random.default_rng(1)
+    for _ in range(500):
+        x = r.integers(0, 6, r.integers(1, 40)).astype(float)
+        x[r.random(len(x)) < 0.1] = np.nan
+        k = int(r.integers(1, 45))
+        assert list(dense.smallest(x, k)) == list(np.argsort(x, kind="stable")[:k])
+
+
+def test_knn_join_of_nothing(spark):
+    d = spark.createDataFrame([(1, [1.0])], "key int, vector array<float>")
+    got = dense.knn_join(d, d.withColumnRenamed("key", "query_id"), 0)
+    assert got.columns == ["query_id", "rank", "key", "score"] and got.count() == 0
