@@ -54,6 +54,30 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     return {"cosine": cosine, "euclidean": euclidean, "dotproduct": dotproduct}[metric](a, b)
 
 
+def to_rows(metric: str, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of a query to rows, in doubles. Each is summed along its own row, so that equal rows
+    are equally far wherever they stand; those of matrix() can differ in the last bits."""
+    q, r = query.astype(np.float64), np.ascontiguousarray(rows, np.float64)
+    if metric == "euclidean":
+        return np.sqrt(((r - q) ** 2).sum(1))
+    products = (r * q).sum(1)
+    if metric == "dotproduct":
+        return -products
+    scale = np.sqrt((q * q).sum()) * np.sqrt((r * r).sum(1))
+    return np.where(scale == 0, 1.0, 1.0 - products / np.where(scale == 0, 1.0, scale))
+
+
+def longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64).max(initial=0.0)))
+
+
+def slack(metric: str, query: np.ndarray, length: float) -> float:
+    """Twice what a value of matrix(), for euclidean its square, can be off, and more; ``length`` is
+    that of the longest row."""
+    rounding = 16 * np.finfo(np.float64).eps * (len(query) + 8)
+    return rounding if metric == "cosine" else rounding * (longest(query[None, :]) + length) ** 2
+
+
 def matrix(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Distances of all queries to all rows, in doubles."""
     q, r = queries.astype(np.float64), rows.astype(np.float64)

@@ -58,20 +58,31 @@ def smallest(row: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(row, kind="stable")[:k]
 
 
+def within(row: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of values up to ``slack`` above the k-th least, in order of places."""
+    if k < len(row):
+        limit = np.partition(row, k - 1)[k - 1] + slack
+        if np.isfinite(limit):
+            return np.flatnonzero(row <= limit)
+    return np.arange(len(row))
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, rank, key, score): the k nearest of vectors (key, vector) for every query
     (query_id, vector), exactly.
 
     Vectors and queries are dealt into tiles by hash; each pair of tiles is one group, whose
     distances numpy computes for BLOCK queries at a time and cuts to k a query. Only k rows a query and tile go on
-    to the final ranking, so that neither side has to fit in a task or be broadcast."""
+    to the final ranking, so that neither side has to fit in a task or be broadcast. A matrix product finds
+    the rows that may be among the k, ties and all; those are measured again one by one, so that equal
+    vectors are equally far in any tile and rank by key."""
     n, m = vectors.count(), queries.count()
     tiles, blocks = max(1, -(-n // VECTORS)), max(1, -(-m // QUERIES))
     tile = lambda c, t: F.pmod(F.xxhash64(c), F.lit(t)).cast("int")
     every = lambda t: F.explode(F.sequence(F.lit(0), F.lit(t - 1)))
     left = vectors.where(F.col("vector").isNotNull()).select(tile("key", tiles).alias("tile"), every(blocks).alias("block"), "key", "vector")
     right = queries.select(every(tiles).alias("tile"), tile("query_id", blocks).alias("block"), "query_id", "vector")
-    matrix = D.matrix
+    matrix, to_rows, slack, longest = D.matrix, D.to_rows, D.slack, D.longest
     key_type, id_type = vectors.schema["key"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, key {key_type}, score double")
@@ -81,13 +92,17 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
             return pd.DataFrame({"query_id": asked["query_id"][:0], "key": rows["key"][:0], "score": np.zeros(0)})
         rows = rows.sort_values("key", kind="stable").reset_index(drop=True)
         keys, data = rows["key"].to_numpy(), np.stack(rows["vector"].to_numpy())
+        length = longest(data)
         asked_for, ids = np.stack(asked["vector"].to_numpy()), asked["query_id"].to_numpy()
         parts = []
         for at in range(0, len(ids), BLOCK):
             found = matrix(metric, asked_for[at : at + BLOCK], data)
             for i, row in enumerate(found):
-                best = smallest(row, k)
-                parts.append(pd.DataFrame({"query_id": np.repeat(ids[at + i], len(best)), "key": keys[best], "score": row[best]}))
+                q = asked_for[at + i]
+                near = within(row * row if metric == "euclidean" else row, k, slack(metric, q, length))
+                exact = to_rows(metric, q, data[near])
+                best = smallest(exact, k)
+                parts.append(pd.DataFrame({"query_id": np.repeat(ids[at + i], len(best)), "key": keys[near[best]], "score": exact[best]}))
         return pd.concat(parts)
 
     pairs = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(nearest, f"query_id {id_type}, key {key_type}, score double")
