@@ -32,6 +32,20 @@ def live(log: DataFrame, keys: Sequence[str], seq: Column | str = "seq", op: str
     return last_writes(log, keys, seq).where(F.col(op) == PUT)
 
 
+def state(snapshot: DataFrame | None, log: DataFrame | None, keys: Sequence[str], seq: Column | str = "seq") -> DataFrame | None:
+    """Live records of a snapshot (one live record a key) and the log written after it. Only the log
+    is replayed; of the snapshot's rows none move but where the log is too large to be broadcast."""
+    if log is None:
+        return snapshot
+    changes = last_writes(committed(log), keys, seq)
+    put = changes.where(F.col("op") == PUT)
+    if snapshot is None:
+        return put
+    # Names of their own: both sides can come from one file.
+    changed = changes.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return snapshot.join(changed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti").unionByName(put)
+
+
 def fenced(log: DataFrame, deletions: DataFrame, index: str = "index_name") -> DataFrame:
     """Records of an index after its last deletion (index, seq): a deletion takes all before it."""
     last = deletions.groupBy(F.col(index).alias("_i")).agg(F.max("seq").alias("_fence"))

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder for a store without a path: where driver and executors share a disk a temporary
+    one, on a cluster one under spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/marlstone-{kind}-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster a store needs a path, or spark.checkpoint.dir for those without one")
+    return tempfile.mkdtemp(prefix=f"marlstone-{kind}-")
+
+
 class Folder:
     """A folder through Hadoop's file system interface."""
 
@@ -45,6 +60,18 @@ class Folder:
         array = self._array(rename, [rename.OVERWRITE])
         context.rename(self._at(f".{name}.new"), self._at(name), array)
 
+    def move(self, name: str, to: str) -> bool:
+        """Renames a file; not if it is gone or there is one of that name."""
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self.conf)
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        try:
+            context.rename(self._at(name), self._at(to), self._array(rename, [rename.NONE]))
+            return True
+        except Exception:
+            if self.exists(to) or not self.exists(name):
+                return False
+            raise
+
     def _array(self, kind, values):
         from pyspark import SparkContext
 
@@ -63,6 +90,10 @@ class Folder:
                 return False
             raise
 
+    def touch(self, name: str) -> None:
+        """Writes an empty file anew; there is one at any time."""
+        self._write(name, "", True)
+
     def modified_ms(self, name: str) -> int:
         return self.fs.getFileStatus(self._at(name)).getModificationTime()
 

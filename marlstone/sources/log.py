@@ -1,5 +1,8 @@
 """Versioned tables of a store: a snapshot, and log parts written since.
 
+Snapshots are sorted by key over ranges of keys, so that Parquet's statistics skip files, row groups
+and pages when keys or prefixes are asked for.
+
 CURRENT names the snapshot and the parts that count; it is replaced at once, so that a crash leaves
 the old state or the new. Each commit is one part (one Spark write); a checkpoint writes the live
 rows as a new snapshot. A reader keeps the CURRENT it has read: what a checkpoint replaces is deleted
@@ -9,7 +12,7 @@ only by the checkpoint RETAINED further on, so that open readers and plans made
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -27,8 +30,9 @@ class ReadonlyError(RuntimeError):
 
 
 class LogTable:
-    def __init__(self, spark: SparkSession, folder: Folder, kind: T.StructType, name: str = "CURRENT"):
-        self.spark, self.folder, self.kind, self.name = spark, folder, kind, name
+    def __init__(self, spark: SparkSession, folder: Folder, kind: T.StructType, name: str = "CURRENT", confirm: Callable[[], None] | None = None):
+        """``confirm`` is called before each commit and raises if this writer may not commit."""
+        self.spark, self.folder, self.kind, self.name, self.confirm = spark, folder, kind, name, confirm
         self.state = {"format": FORMAT, "version": VERSION, "snapshot": None, "parts": [], "seq": 0, "made": 0}
         text = folder.read(name)
         if text is not None:
@@ -49,6 +53,8 @@ class LogTable:
         return name
 
     def _save(self) -> None:
+        if self.confirm:
+            self.confirm()
         self.folder.write(self.name, json.dumps(self.state))
 
     def rows(self) -> DataFrame:
@@ -58,10 +64,15 @@ class LogTable:
             return self.spark.createDataFrame([], self.kind)
         return self.spark.read.schema(self.kind).parquet(*[f"{self.folder.path}/{n}" for n in names])
 
-    def log(self) -> DataFrame:
+    def snapshot(self) -> DataFrame | None:
+        """The rows of the last checkpoint: one a key, all live then."""
+        name = self.state["snapshot"]
+        return self.spark.read.schema(self.kind).parquet(f"{self.folder.path}/{name}") if name else None
+
+    def log(self) -> DataFrame | None:
         """The parts since the snapshot."""
         if not self.state["parts"]:
-            return self.spark.createDataFrame([], self.kind)
+            return None
         return self.spark.read.schema(self.kind).parquet(*[f"{self.folder.path}/{n}" for n in self.state["parts"]])
 
     def last_part(self) -> DataFrame:
@@ -84,13 +95,20 @@ class LogTable:
             self.state = before
             raise
 
-    def checkpoint(self, live: DataFrame) -> None:
-        """Makes ``live`` the snapshot; what it replaces goes RETAINED checkpoints later."""
+    def checkpoint(self, live: DataFrame, keys: Sequence[str] = ()) -> None:
+        """Makes ``live`` the snapshot, sorted by ``keys``; what it replaces goes RETAINED checkpoints later."""
+        if keys:
+            live = live.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        before = dict(self.state)
         old = [n for n in (self.state["snapshot"], *self.state["parts"]) if n]
         name = self._write(live, "snapshot")
         replaced = [*self.state.get("replaced", []), old]
         gone, kept = replaced[:-RETAINED], replaced[-RETAINED:]
         self.state.update(snapshot=name, parts=[], replaced=kept)
-        self._save()
+        try:
+            self._save()
+        except BaseException:
+            self.state = before
+            raise
         for n in sum(gone, []):
             self.folder.delete(n)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -13,16 +12,17 @@ from pyspark.sql import functions as F
 
 from marlstone.events import Events
 from marlstone.functions.metadata import matches
-from marlstone.objects import ObjectStore, now_ms
+from marlstone.objects import CHECKPOINT_PARTS, ObjectStore, now_ms
 from marlstone.operators import dense, hybrid, reconcile, sparse
 from marlstone.operators.listing import key_page
 from marlstone.plans import changelog
 from marlstone.schema import VECTOR_LOG
-from marlstone.sources.folder import Folder
+from marlstone.sources.folder import Folder, scratch
 from marlstone.sources.lock import FileLock
 from marlstone.sources.log import LogTable, ReadonlyError
 
 CATALOG = "INDEXES"
+KEYS = ("index_name", "key")
 
 
 @dataclass
@@ -56,11 +56,11 @@ def newest() -> Column:
 class VectorStore:
     def __init__(self, spark: SparkSession, path: str | None = None, readonly: bool = False, lock_stale_after_ms: float | None = None, clock: Callable[[], int] = now_ms):
         self.spark, self.readonly, self.clock = spark, readonly, clock
-        self.folder = Folder(spark, path or tempfile.mkdtemp(prefix="marlstone-vectors-"))
+        self.folder = Folder(spark, path or scratch(spark, "vectors"))
         self.lock = None if readonly else FileLock(self.folder, lock_stale_after_ms)
         if self.lock:
             self.lock.acquire()
-        self.table = LogTable(spark, self.folder, VECTOR_LOG)
+        self.table = LogTable(spark, self.folder, VECTOR_LOG, confirm=self.lock and self.lock.confirm)
         self.indexes = {x["name"]: IndexConfig(**x) for x in json.loads(self.folder.read(CATALOG) or "[]")}
         self.events = Events()
 
@@ -99,11 +99,17 @@ class VectorStore:
     def list_indexes(self) -> list[IndexConfig]:
         return list(self.indexes.values())
 
+    def _live(self, name: str, fence: int) -> DataFrame:
+        """The index's live records. Over a checkpoint without later writes no vector moves."""
+        wanted = (F.col("index_name") == name) & (F.col("seq") > fence)
+        snapshot, log = self.table.snapshot(), self.table.log()
+        found = changelog.state(snapshot and snapshot.where(wanted), log and log.where(wanted), KEYS, newest())
+        return self.table.rows() if found is None else found
+
     def vectors(self, name: str) -> DataFrame:
         """Live vectors (key, vector, norm, sparse, metadata as a variant)."""
         fence = self.entry(name).fence
-        rows = self.table.rows().where((F.col("index_name") == name) & (F.col("seq") > fence))
-        found = changelog.live(changelog.committed(rows), ("index_name", "key"), newest())
+        found = self._live(name, fence)
         return found.select("key", "vector", "norm", "sparse", F.parse_json("metadata").alias("metadata"))
 
     def put_vectors(self, name: str, inputs: Sequence[Mapping]) -> None:
@@ -132,6 +138,7 @@ class VectorStore:
             rows.append((first + i, None, changelog.PUT, name, x["key"], vector, norm, part or None, metadata))
         if rows:
             self.table.append(rows)
+            self.checkpoint_if_long()
         self.events.emit("put_vectors", name, [x["key"] for x in inputs])
 
     def put_frame(self, name: str, rows: DataFrame) -> None:
@@ -157,6 +164,7 @@ class VectorStore:
 
         rows = rows.withColumns({"seq": F.lit(self.table.next_seq()).cast("long"), "txn_id": F.lit(None).cast("long"), "op": F.lit(changelog.PUT), "index_name": F.lit(name), "norm": norm(F.col("vector"))})
         self.table.append(rows.select(*VECTOR_LOG.names))
+        self.checkpoint_if_long()
         self.events.emit("put_vectors", name, None)
 
     def get_vectors(self, name: str, keys: Sequence[str]) -> list[dict]:
@@ -169,12 +177,16 @@ class VectorStore:
         if there:
             first = self.table.next_seq(len(there))
             self.table.append([(first + i, None, changelog.DELETE, name, k, None, None, None, None) for i, k in enumerate(sorted(there))])
+            self.checkpoint_if_long()
             self.events.emit("delete_vectors", name, list(keys))
         return len(there)
 
     def list_vectors(self, name: str, prefix: str | None = None, start_after: str | None = None, max_keys: int | None = None) -> tuple[list[str], bool, str | None]:
         return key_page(self.vectors(name), prefix, start_after, max_keys)
 
+    def has_key(self, name: str, key: str) -> bool:
+        return not self.vectors(name).where(F.col("key") == key).isEmpty()
+
     def size(self, name: str) -> int:
         return self.vectors(name).count()
 
@@ -221,12 +233,15 @@ class VectorStore:
         self._writable("checkpoint")
         rows = None
         for x in self.indexes.values():
-            one = self.table.rows().where((F.col("index_name") == x.name) & (F.col("seq") > x.fence))
-            one = changelog.live(changelog.committed(one), ("index_name", "key"), newest())
+            one = self._live(x.name, x.fence)
             rows = one if rows is None else rows.union(one)
         if rows is None:
             rows = self.spark.createDataFrame([], VECTOR_LOG)
-        self.table.checkpoint(rows.select(*VECTOR_LOG.names))
+        self.table.checkpoint(rows.select(*VECTOR_LOG.names), KEYS)
+
+    def checkpoint_if_long(self) -> None:
+        if len(self.table.state["parts"]) >= CHECKPOINT_PARTS:
+            self.checkpoint()
 
     def close(self) -> None:
         if self.lock:
@@ -239,7 +254,7 @@ class VectorClient:
 
     def __init__(self, spark: SparkSession, path: str | None = None, readonly: bool = False, **ignored):
         self.store = VectorStore(spark, path, readonly)
-        for name in ("create_index", "delete_index", "get_index", "list_indexes", "put_vectors", "put_frame", "get_vectors", "delete_vectors", "list_vectors", "query", "checkpoint", "close"):
+        for name in ("create_index", "delete_index", "get_index", "list_indexes", "put_vectors", "put_frame", "get_vectors", "delete_vectors", "list_vectors", "has_key", "query", "checkpoint", "close"):
             setattr(self, name, getattr(self.store, name))
         self.on, self.off = self.store.events.on, self.store.events.off
 
@@ -267,6 +282,7 @@ def reconciled(objects: ObjectStore, vectors: VectorStore, index: str, bucket: s
         vectors.table.append(gone.select(*VECTOR_LOG.names))
         # Counted in the part just written, so that the anti join runs once.
         removed = vectors.table.last_part().count()
+        vectors.checkpoint_if_long()
         if removed:
             vectors.events.emit("delete_vectors", index, None)
     return lone_vectors, lone_objects, removed

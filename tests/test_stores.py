@@ -1,6 +1,7 @@
 """Stores, clients, locks, tokens, streams: behaviour over several calls."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -163,12 +164,121 @@ def test_locks(spark, tmp_path):
     one.acquire()
     with pytest.raises(LockedError):
         FileLock(folder).acquire()
-    FileLock(folder, stale_after_ms=-1).acquire()
+    one.confirm()
+    two = FileLock(folder, stale_after_ms=-1)
+    two.acquire()
+    two.confirm()
+    with pytest.raises(LockedError):
+        one.confirm()
+    one.release()
     assert break_lock(folder) and not break_lock(folder)
-    for holder in ('{"pid": 99999999, "host": "%s"}' % __import__("socket").gethostname(), '{"pid": 1, "host": "elsewhere"}', "garbage"):
+    # A process of this host that has ended need not lapse; any other owner must.
+    folder.create("LOCK", '{"owner": "x", "pid": 99999999, "host": "%s"}' % __import__("socket").gethostname())
+    FileLock(folder).acquire()
+    break_lock(folder)
+    for holder in ('{"owner": "y", "pid": 1, "host": "elsewhere"}', "garbage"):
         folder.create("LOCK", holder)
-        FileLock(folder).acquire()
+        with pytest.raises(LockedError):
+            FileLock(folder).acquire()
+        FileLock(folder, stale_after_ms=-1).acquire()
         break_lock(folder)
+    assert folder.names() == []
+
+
+def test_lease_is_renewed(spark, tmp_path):
+    folder = Folder(spark, f"file://{tmp_path}/l")
+    one = FileLock(folder, stale_after_ms=2000)
+    one.acquire()
+    until = time.time() + 4
+    while time.time() < until:
+        with pytest.raises(LockedError):
+            FileLock(folder, stale_after_ms=2000).acquire()
+        time.sleep(0.5)
+    one.confirm()
+    one.release()
+    assert folder.names() == []
+
+
+def test_a_writer_that_lost_its_lock_commits_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    a = ObjectStore(spark, path)
+    a.put("b", "k", "1")
+    b = ObjectStore(spark, path, lock_stale_after_ms=-1)
+    with pytest.raises(LockedError):
+        a.put("b", "k", "2")
+    with pytest.raises(LockedError):
+        a.checkpoint()
+    assert bytes(a.get("b", "k").data) == b"1" and a.table.state["snapshot"] is None
+    b.put("b", "k", "3")
+    assert bytes(ObjectStore(spark, path, readonly=True).get("b", "k").data) == b"3"
+    b.close()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshots_are_sorted_and_only_the_log_is_replayed(spark, tmp_path):
+    s = ObjectStore(spark, f"file://{tmp_path}/s")
+    s.put_frame(spark.range(500).selectExpr("'b' AS bucket", "concat('k', lpad(id * 7 % 500, 3, '0')) AS key", "CAST(CAST(id AS string) AS binary) AS data"))
+    s.checkpoint()
+    name = s.table.state["snapshot"]
+    for part in (tmp_path / "s" / name).glob("*.parquet"):
+        keys = [r.key for r in spark.read.parquet(str(part)).select("key").collect()]
+        assert keys == sorted(keys)
+    plan = plan_of(s.one("b", "k003"))
+    assert "Exchange" not in plan and "EqualTo(key,k003)" in plan
+    s.put("b", "k003", "new")
+    s.delete("b", "k004")
+    s.transaction(lambda t: (t.put("b", "k005", "in"), t.delete("b", "k006")))
+    s.put("b", "more", "x")
+    assert bytes(s.get("b", "k003").data) == b"new" and bytes(s.get("b", "k005").data) == b"in" and s.exists("b", "k007")
+    assert not s.exists("b", "k004") and not s.exists("b", "k006") and s.objects("b").count() == 499
+    s.checkpoint()
+    assert not s.exists("b", "k004") and s.objects().count() == 499
+    s.close()
+
+
+def test_queries_over_checkpoints_move_no_vectors(spark, tmp_path):
+    v = VectorStore(spark, f"file://{tmp_path}/v")
+    v.create_index("i", 2)
+    v.create_index("j", 2)
+    v.put_frame("i", spark.range(50).selectExpr("CAST(id AS string) AS key", "array(CAST(id AS float), 1f) AS vector"))
+    v.put_vectors("j", [{"key": "0", "vector": [9.0, 9.0]}])
+    v.checkpoint()
+    assert "Exchange" not in plan_of(v.vectors("i"))
+    v.put_vectors("i", [{"key": "0", "vector": [5.0, 5.0]}])
+    v.delete_vectors("i", ["1"])
+    assert v.size("i") == 49 and v.get_vectors("i", ["0"])[0]["vector"] == [5.0, 5.0] and v.has_key("i", "2") and not v.has_key("i", "1")
+    v.delete_index("i")
+    v.create_index("i", 2)
+    assert v.size("i") == 0 and v.size("j") == 1
+    v.put_vectors("i", [{"key": "2", "vector": [1.0, 1.0]}])
+    v.checkpoint()
+    assert v.size("i") == 1 and v.size("j") == 1
+    v.close()
+
+
+def test_vector_log_folds_by_itself(spark, tmp_path, monkeypatch):
+    import marlstone.vectors as module
+
+    monkeypatch.setattr(module, "CHECKPOINT_PARTS", 3)
+    v = VectorStore(spark, f"file://{tmp_path}/v")
+    v.create_index("i", 1)
+    for i in range(4):
+        v.put_vectors("i", [{"key": str(i), "vector": [float(i)]}])
+    assert len(v.table.state["parts"]) == 1 and v.size("i") == 4
+    v.close()
+
+
+def test_corruptions_have_files_and_reasons(store):
+    store.put("b", "k", "one")
+    store.put("b", "m", "two")
+    assert store.corruptions().isEmpty()
+    bad = store.log().withColumn("crc", F.when(F.col("key") == "m", 1).otherwise(F.col("crc")).cast("long"))
+    store.table.checkpoint(bad.select(*OBJECT_LOG.names))
+    (row,) = store.corruptions().collect()
+    assert (row.bucket, row.key, row.reason) == ("b", "m", "checksum differs") and store.table.state["snapshot"] in row.file
 
 
 def test_client_files_and_sinks(spark):
@@ -302,6 +412,21 @@ def test_knn_join_in_tiles(spark, monkeypatch):
         assert [k for i, _, k in whole if i == 14] == one
 
 
+def test_knn_join_ranks_copies_by_key(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    base = [[float(x) for x in r.normal(size=9)] for _ in range(3)]
+    rows = [(i, base[i % 3]) for i in range(150)]
+    d = spark.createDataFrame(rows, "key long, vector array<float>").repartition(3)
+    q = d.where("key < 3").withColumnRenamed("key", "query_id")
+    monkeypatch.setattr(dense, "VECTORS", 40)
+    for metric in ("cosine", "euclidean", "dotproduct"):
+        got = dense.knn_join(d, q, 5, metric).collect()
+        for i in range(3):
+            mine = [x["key"] for x in sorted((x for x in got if x.query_id == i), key=lambda x: x["rank"])]
+            keys = [x % 3 for x in mine]
+            assert len(set(keys)) == 1 and mine == [keys[0] + 3 * j for j in range(5)], metric
+
+
 def test_hashing_recall(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id as key", "embedding as vector")
     asked = list(d.where("key = 7").first().vector)
