@@ -7,7 +7,7 @@ distinct window, and settles repeats inside the task at once, so that a window i
 documents costs one entry a task. Entries are then merge-joined, bucket by bucket, with the runs
 (whose buckets stay where they are); what the index lacks becomes a new run, and runs of like size
 are compacted into one. A hit names the document that has the window; every hit is verified
-against that document's words before a word is removed.
+against that document's text, byte by byte, before a word is removed.
 
 Batches of ``deduplicate`` go by ascending doc_id, so that a run only holds smaller ids.
 
@@ -98,7 +98,7 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 def hit_row(bucket: int, docs: np.ndarray, sources: np.ndarray, keys: np.ndarray) -> tuple:
     """Hits by document, packed. A hash's lower half is enough to mark a window in its document:
-    what is marked is verified word by word."""
+    what is marked is verified byte by byte."""
     order = np.lexsort((sources, docs))
     docs, sources = docs[order], sources[order]
     steps = pack_sorted(docs.view(np.uint64))
@@ -300,44 +300,55 @@ def first_of_each(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def apply_hits(width: int):
-    """One bucket of documents: verifies the hits against the words of the documents that they
+    """One bucket of documents: verifies the hits against the bytes of the documents that they
     name, and removes the words that verified windows cover."""
 
-    def verified(w: np.ndarray, k: np.ndarray, p: np.ndarray, sw: np.ndarray, sk: np.ndarray, sp: np.ndarray) -> np.ndarray:
-        """Whether the windows at p of a document occur in another, word by word: sw are that
-        one's words, sk its distinct window hashes in order, sp their first places."""
+    def verified(text: bytes, at: np.ndarray, k: np.ndarray, p: np.ndarray, source: bytes, sat: np.ndarray, sk: np.ndarray, sp: np.ndarray) -> np.ndarray:
+        """Whether the windows at p of a document occur in another, byte by byte. Both texts have
+        words joined by one space, which start at ``at`` and ``sat`` (and one more beyond the last);
+        sk are the other's distinct window hashes in order, sp their first places. Windows that
+        follow one another in both texts are compared at once, and singly where they differ."""
+        equal = np.zeros(len(p), bool)
         if not len(sk):
-            return np.zeros(len(p), bool)
+            return equal
         j = np.minimum(np.searchsorted(sk, k[p]), len(sk) - 1)
-        equal = sk[j] == k[p]
-        for x in range(width):
-            equal &= sw[np.minimum(sp[j] + x, len(sw) - 1)] == w[p + x]
+        hit = np.flatnonzero(sk[j] == k[p])
+        p, q = p[hit], sp[j[hit]]
+        cuts = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
+
+        def alike(x: int, y: int, n: int) -> bool:
+            """Whether n words from x on are those from y on."""
+            return text[at[x] : at[x + n] - 1] == source[sat[y] : sat[y + n] - 1]
+
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
+            if a < b and alike(p[a], q[a], b - a + width - 1):
+                equal[hit[a:b]] = True
+            else:
+                equal[hit[a:b]] = [alike(p[i], q[i], width) for i in range(a, b)]
         return equal
 
-    def hashed(rows: pd.DataFrame) -> tuple[list[int], list[bytes], list[np.ndarray], list[np.ndarray]]:
-        ids, texts, words, keys = [], [], [], []
+    def hashed(rows: pd.DataFrame) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+        """For each row its id, its words joined by one space, where these start, window hashes."""
         for i, t in zip(rows["id"], rows["text"], strict=True):
-            t = bytes(t)
-            w, _ = word_hashes(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-            ids.append(i)
-            texts.append(t)
-            words.append(w)
-            keys.append(windows(w, width, WORD_BASE))
-        return ids, texts, words, keys
+            t = b" ".join(bytes(t).split())
+            data = np.frombuffer(t, np.uint8)
+            starts, ends, _ = word_bounds(data, np.array([0, len(t)]))
+            at = np.append(starts, len(t) + 1)
+            yield i, t, at, windows(slices(SPREAD[data], starts, ends, BASE), width, WORD_BASE)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         hits = rows[rows["kind"] == HIT]
         docs, names, keys = unpack_hits(hits)
         order = np.lexsort((keys, docs))
         docs, names, keys = docs[order], names[order], keys[order]
-        sources: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        ids, _, words, own = hashed(rows[rows["kind"] == SOURCE])
-        for i, w, k in zip(ids, words, own, strict=True):
-            sources.setdefault(i, []).append((w, *first_of_each(k)))
+        sources: dict[int, list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for i, t, at, k in hashed(rows[rows["kind"] == SOURCE]):
+            sources.setdefault(i, []).append((t, at, *first_of_each(k)))
         out = []
-        for i, text, w, k in zip(*hashed(rows[rows["kind"] == OWN]), strict=True):
+        for i, text, starts, k in hashed(rows[rows["kind"] == OWN]):
+            n = len(starts) - 1
             a, b = np.searchsorted(docs, i, "left"), np.searchsorted(docs, i, "right")
-            gone = np.zeros(len(w) + 1, np.int64)
+            gone = np.zeros(n + 1, np.int64)
             if b > a and len(k):
                 half = k.astype(np.uint32)
                 mine, named = keys[a:b], names[a:b]
@@ -352,16 +363,16 @@ def apply_hits(width: int):
                     name = named[at[place]]
                     for s in np.unique(name):
                         p = place[name == s]
-                        for sw, sk, sp in sources.get(int(s), []):
-                            right[p] |= verified(w, k, p, sw, sk, sp)
+                        for source in sources.get(int(s), []):
+                            right[p] |= verified(text, starts, k, p, *source)
                     at += 1
                 place = np.flatnonzero(right)
                 np.add.at(gone, place, 1)
-                np.add.at(gone, np.minimum(place + width, len(w)), -1)
+                np.add.at(gone, np.minimum(place + width, n), -1)
             kept = np.cumsum(gone)[:-1] == 0
             tokens = text.split()
             digest = hashlib.sha256(b" ".join([tokens[x] for x in np.flatnonzero(kept)])).hexdigest()
-            out.append((None if i == NONE else i, len(w), int(len(w) - kept.sum()), digest))
+            out.append((None if i == NONE else i, n, int(n - kept.sum()), digest))
         return pd.DataFrame(out, columns=RESULT.names).astype({"doc_id": "Int64"})
 
     return work
