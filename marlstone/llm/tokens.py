@@ -193,6 +193,10 @@ def encoder(path: str, end: int) -> Encoder:
     return found
 
 
+#: Letters of a text by which rows of one doc_id are dealt to shards; more would go to the driver as
+#: bounds of ranges.
+RANGE_LETTERS = 64
+
 COUNTS = schema(id=INT, n=LONG)
 
 
@@ -335,9 +339,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> None:
     once; the ids wait in a table until all are counted. A vocabulary bounds what is counted."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    # Rows of one doc_id, or of none, are many tasks' work: ranges go by the text's first letters too,
+    # which agree with the order of whole texts.
+    head = F.substring("text", 1, RANGE_LETTERS)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, int(size) // SHARD)
-    sorted_ = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    sorted_ = docs.repartitionByRange(shards, "doc_id", head).sortWithinPartitions("doc_id", "text")
     raw = materialize(sorted_.mapInArrow(to_blocks(tokenizer, end), BLOCKS), "raw")
     release(spark)
     counted = raw.select("lengths", "data").mapInArrow(count_ids, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).collect()
