@@ -48,8 +48,8 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: Fingerprints, log-odds and token ids have no SQL form. Tests hold the operators against brute force,
-#: and the pipeline's stages by their columns and counts.
+#: Fingerprints, log-odds and token ids have no SQL form. Tests hold run() against plain Python and SQL
+#: from the toxicity stage's rows on, and that stage against the scores of its operator.
 ORACLE_SQL = None
 
 
