@@ -245,10 +245,15 @@ def representatives(docs: DataFrame, widths: tuple[int, ...] = NEAR_WIDTHS, radi
     and all stay."""
     fps = materialize(fingerprints(docs, widths), "fingerprints")
     classes = components(fps, radii, tile)
-    kept = fps.join(classes, F.col("fp") == F.col("f")).where(F.col("doc_id") == F.col("component_id"))
-    kept = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept"), "n"), "kept")
-    out = docs.join(kept.select("__kept"), docs["doc_id"] == F.col("__kept"), "left_semi")
-    if not kept.where("n > 1").isEmpty():
+    stays = F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(False))
+    ids = fps.join(classes, F.col("fp") == F.col("f")).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(stays.alias("stays"), F.count("*").alias("n"))
+    # Ids that go or that several rows share are fewer than those that stay: Spark broadcasts them
+    # while they are under its threshold, and texts move only beyond it.
+    marked = materialize(ids.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), "stays"), "marked")
+    out = docs.join(marked.select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
+    shared = marked.where("stays")
+    if not shared.isEmpty():
+        rows = docs.join(shared.select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
         one = F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(docs["text"], F.xxhash64(*[docs[c] for c in docs.columns])))
-        out = out.groupBy(docs["doc_id"]).agg(one.alias("__row")).select("__row.*")
-    return out.union(docs.where(docs["doc_id"].isNull()))
+        out = out.union(rows.groupBy(docs["doc_id"]).agg(one.alias("__row")).select("__row.*"))
+    return out
