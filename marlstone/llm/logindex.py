@@ -7,7 +7,8 @@ distinct window, and settles repeats inside the task at once, so that a window i
 documents costs one entry a task. Entries are then merge-joined, bucket by bucket, with the runs
 (whose buckets stay where they are); what the index lacks becomes a new run, and runs of like size
 are compacted into one. A hit names the document that has the window; every hit is verified
-against that document's text, byte by byte, before a word is removed.
+against that document's text, byte by byte, before a word is removed. Hits stay in the bucket of the
+index that found them, so that a run has a file a bucket, and are dealt to documents once, at the end.
 
 Batches of ``deduplicate`` go by ascending doc_id, so that a run only holds smaller ids.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import BINARY, INT, LONG, STRING, materialize, release, schema, text_views, word_bounds
-from marlstone.llm.rolling import BASE, SPREAD, WORD_BASE, slices, windows
+from marlstone.llm.rolling import BASE, SPREAD, WORD_BASE, mixed, slices, windows
 
 #: Words of a window.
 WIDTH = 13
@@ -81,7 +82,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 ENTRIES = schema(bucket=INT, kind=INT, keys=BINARY, docs=BINARY, sources=BINARY)
-#: Kinds of rows: entries of a batch or run by index bucket, and hits by bucket of documents.
+#: Kinds of rows: entries of a batch or run, and hits. ``bucket`` is one of the index, and of
+#: documents once hits are dealt to these.
 ENTRY, HIT = 0, 1
 
 
@@ -106,10 +108,20 @@ def hit_row(bucket: int, docs: np.ndarray, sources: np.ndarray, keys: np.ndarray
 
 
 def hit_rows(docs: np.ndarray, sources: np.ndarray, keys: np.ndarray, document_buckets: int) -> Iterator[tuple]:
+    """Hits packed by bucket of documents."""
     for b, d, s, k in by_bucket(spread(docs, document_buckets), docs, sources, keys):
         yield hit_row(b, d, s, k)
 
 
+def held_hits(docs: np.ndarray, sources: np.ndarray, keys: np.ndarray, home) -> Iterator[tuple]:
+    """Hits packed in few rows for the index; home gives a row's bucket by its first document."""
+    order = np.argsort(docs, kind="stable")
+    docs, sources, keys = docs[order], sources[order], keys[order]
+    for a in range(0, len(docs), PER_ROW):
+        part = slice(a, a + PER_ROW)
+        yield hit_row(home(docs[a]), docs[part], sources[part], keys[part])
+
+
 def unpack_hits(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, sources and halves of hashes of some rows of hits."""
     docs = np.concatenate([np.zeros(0, np.int64), *(unpack_sorted(x).view(np.int64) for x in rows["docs"])])
@@ -123,9 +135,13 @@ def spread(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ids % buckets
 
 
-def to_entries(buckets: int, document_buckets: int, width: int):
+def to_entries(buckets: int, width: int):
     shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
 
+    def home(doc: np.int64) -> int:
+        """A bucket for what a task settles by itself, which no window ties to one."""
+        return int(mixed(np.array([doc], np.int64).view(np.uint64))[0] >> shift) if shift is not None else 0
+
     def flush(keys: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
         if np.any(np.diff(docs) < 0):
             order = np.argsort(docs, kind="stable")
@@ -135,7 +151,7 @@ def to_entries(buckets: int, document_buckets: int, width: int):
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
         again = docs > least
-        yield from hit_rows(docs[again], least[again], keys[again], document_buckets)
+        yield from held_hits(docs[again], least[again], keys[again], home)
         keys, docs = keys[new], docs[new]
         place = (keys >> shift).astype(np.int64) if shift is not None else np.zeros(len(keys), np.int64)
         for b, k, d in by_bucket(place, keys, docs):
@@ -186,40 +202,36 @@ def run_rows(bucket: int, keys: np.ndarray, docs: np.ndarray) -> list[tuple]:
     return [(bucket, ENTRY, pack_sorted(keys[a : a + PER_ROW]), pack_ids(docs[a : a + PER_ROW]), None) for a in cuts]
 
 
-def to_run(document_buckets: int):
+def to_run(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     """Merge-joins the entries of a batch in one bucket with those of the runs: hits, and a run of
-    what the runs lack."""
-
-    def join(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        local = batch["kind"] == HIT
-        out = list(batch[local].itertuples(index=False, name=None))
-        batch = batch[~local]
-        if not batch.empty:
-            bucket = int(batch["bucket"].iloc[0])
-            keys, docs = merged(batch)
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            first = np.flatnonzero(new)
-            source = docs[first].copy()
-            known = np.zeros(len(first), bool)
-            old, owners = merged(runs)
-            if len(old):
-                at = np.minimum(np.searchsorted(old, keys[first]), len(old) - 1)
-                known = old[at] == keys[first]
-                source[known] = np.minimum(source[known], owners[at[known]])
-            source = source[np.cumsum(new) - 1]
-            hit = docs > source
-            out += hit_rows(docs[hit], source[hit], keys[hit], document_buckets)
-            out += run_rows(bucket, keys[first][~known], docs[first][~known])
-        return pd.DataFrame(out, columns=ENTRIES.names)
-
-    return join
+    what the runs lack. All rows stay in the bucket."""
+    local = batch["kind"] == HIT
+    out = list(batch[local].itertuples(index=False, name=None))
+    batch = batch[~local]
+    if not batch.empty:
+        bucket = int(batch["bucket"].iloc[0])
+        keys, docs = merged(batch)
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = np.flatnonzero(new)
+        source = docs[first].copy()
+        known = np.zeros(len(first), bool)
+        old, owners = merged(runs)
+        if len(old):
+            at = np.minimum(np.searchsorted(old, keys[first]), len(old) - 1)
+            known = old[at] == keys[first]
+            source[known] = np.minimum(source[known], owners[at[known]])
+        source = source[np.cumsum(new) - 1]
+        hit = docs > source
+        out += held_hits(docs[hit], source[hit], keys[hit], lambda _: bucket)
+        out += run_rows(bucket, keys[first][~known], docs[first][~known])
+    return pd.DataFrame(out, columns=ENTRIES.names)
 
 
 def compacted(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-    """One run of two: the smallest document of each hash, and the hits of both."""
+    """One run of two: the smallest document of each hash, and the hits of both as they are."""
     rows = pd.concat([x for x in (one, two) if not x.empty])
-    bucket, hits = int(rows["bucket"].iloc[0]), rows[rows["kind"] == HIT]
-    out = [hit_row(bucket, *unpack_hits(hits))] if len(hits) else []
+    bucket = int(rows["bucket"].iloc[0])
+    out = list(rows[rows["kind"] == HIT].itertuples(index=False, name=None))
     keys, docs = merged(rows[rows["kind"] == ENTRY])
     if len(keys):
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -227,14 +239,33 @@ def compacted(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=ENTRIES.names)
 
 
+def to_documents(document_buckets: int):
+    """Deals held hits to buckets of documents, about FLUSH hits at a time."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append(unpack_hits(batch.slice(i, 1).to_pandas()))
+                n += len(held[-1][0])
+                if n >= FLUSH:
+                    yield table(hit_rows(*map(np.concatenate, zip(*held)), document_buckets), ENTRIES)
+                    held, n = [], 0
+        if n:
+            yield table(hit_rows(*map(np.concatenate, zip(*held)), document_buckets), ENTRIES)
+
+    return deal
+
+
 def gathered(rows: pd.DataFrame) -> pd.DataFrame:
     """The hits of one bucket of documents in one row."""
     return pd.DataFrame([hit_row(int(rows["bucket"].iloc[0]), *unpack_hits(rows))], columns=ENTRIES.names)
 
 
 class FingerprintIndex:
-    """Runs of window hashes in tables of the warehouse, ``buckets`` files each. A run also holds
-    the hits of the batches that made it, by bucket of documents."""
+    """Runs of window hashes in tables of the warehouse, ``buckets`` files each at most. A run also
+    holds the hits of the batches that made it, in the buckets that found them: by bucket of documents,
+    each bucket would write a file for each of those, and the driver lists them all."""
 
     def __init__(self, spark: SparkSession, buckets: int, document_buckets: int, width: int = WIDTH):
         self.spark, self.width, self.document_buckets = spark, width, document_buckets
@@ -261,9 +292,9 @@ class FingerprintIndex:
     def ingest(self, docs: DataFrame) -> None:
         """Takes in (doc_id, text). The ids must be larger than those taken in before for a hit to
         mean a smaller doc_id."""
-        batch = docs.select("doc_id", "text").mapInArrow(to_entries(self.buckets, self.document_buckets, self.width), ENTRIES)
+        batch = docs.select("doc_id", "text").mapInArrow(to_entries(self.buckets, self.width), ENTRIES)
         runs = self._runs(ENTRY)
-        name = self._save(batch.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInPandas(to_run(self.document_buckets), ENTRIES))
+        name = self._save(batch.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInPandas(to_run, ENTRIES))
         del batch, runs
         self.runs.append((name, 0))
         release(self.spark)
@@ -281,7 +312,8 @@ class FingerprintIndex:
 
     def hits(self) -> DataFrame:
         """All hits, a row for each bucket of documents that has any."""
-        return materialize(self._runs(HIT).groupBy("bucket").applyInPandas(gathered, ENTRIES), "hits", "uncompressed")
+        dealt = self._runs(HIT).mapInArrow(to_documents(self.document_buckets), ENTRIES)
+        return materialize(dealt.groupBy("bucket").applyInPandas(gathered, ENTRIES), "hits", "uncompressed")
 
     def drop(self) -> None:
         for n, _ in self.runs:

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_words import WORDS
 
@@ -144,3 +145,34 @@ def test_packing():
     assert np.array_equal(logindex.unpack_sorted(logindex.pack_sorted(keys)), keys)
     assert np.array_equal(logindex.unpack_ids(logindex.pack_ids(ids)), ids)
     assert len(logindex.pack_sorted(keys)) < 8 * 1000
+
+
+def test_runs_have_a_file_a_bucket(spark, monkeypatch):
+    """Hits of many documents in every bucket of the index: files of a run grow with the buckets of
+    the index, not with these times those of documents."""
+    r = np.random.default_rng(9)
+    shared = [" ".join(f"s{x}" for x in r.integers(0, 1000, 200)) for _ in range(4)]
+    rows = [(i, shared[i % 4] + " " + " ".join(f"o{x}" for x in r.integers(0, 10**6, 40))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(logindex, "FLUSH", 500)
+    index = logindex.FingerprintIndex(spark, 16, 41)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        index.ingest(docs.where("doc_id < 160"))
+        assert 0 < len(spark.read.table(index.runs[0][0]).inputFiles()) <= index.buckets
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    index.ingest(docs.where("doc_id >= 160"))
+    index.ingest(docs.where("false"))
+    hits = index.hits()
+    index.drop()
+    got = sorted((int(d), int(s)) for x in hits.collect() for d, s, _ in zip(*logindex.unpack_hits(pd.DataFrame([x.asDict()]))))
+    # Each window of a shared passage beyond its first document.
+    assert sorted({d for d, _ in got}) == list(range(4, 240)) and all(s < d for d, s in got)
+    assert len(got) >= 236 * 188 and hits.count() == len({d % 41 for d in range(4, 240)})
+    out = logindex.remove_hits(docs, hits, 41).collect()
+    assert {x.doc_id: x.n_removed for x in out} == {i: 200 * (i >= 4) for i in range(240)}
