@@ -54,8 +54,8 @@ ALPHA, BINS, STRATUM = 0.1, 50, 5
 #: Null model: share of ordinary tokens that may reach a reported p-value, how many are made for a
 #: stratum (a stratum of many candidates gets more), and the longest (longer ones pass less often).
 STRICT, ORDINARY, MOST_ORDINARY, LONGEST = 0.01, 2000, 100_000, 256
-#: Ordinary words: those of the texts' first characters, the most frequent ones.
-WORD, HEAD, VOCABULARY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,19}(?![A-Za-z0-9+/_-])"), 200, 2000
+#: Ordinary words: of all words of whole texts those that most texts have. The JVM matches the pattern.
+WORD, VOCABULARY = r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,19}(?![A-Za-z0-9+/_-])", 2000
 #: Words for small corpora, with some that are hexadecimal.
 COMMON = (
     "the of and to in is for that on with as this are from at by not have was will can all use one more time when which data file name value key user test path "
@@ -148,7 +148,7 @@ def length_band(n: int) -> int:
 
 
 CANDIDATE = T.StructType([T.StructField("start", INT), T.StructField("end", INT), T.StructField("encoding", STRING), T.StructField("band", INT), T.StructField("bin", INT), T.StructField("token", LONG)])
-FOUND = schema(doc_id=LONG, base=STRING, n_assign=LONG, n_access=LONG, n_hex=LONG, candidates=T.ArrayType(CANDIDATE), words=T.ArrayType(STRING))
+FOUND = schema(doc_id=LONG, base=STRING, n_assign=LONG, n_access=LONG, n_hex=LONG, candidates=T.ArrayType(CANDIDATE))
 
 
 def bin_of(token: str, name: str) -> int:
@@ -188,15 +188,14 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[dict]:
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("band", pa.int32()), ("bin", pa.int32()), ("token", pa.int64())])
     for batch in batches:
-        base, counts, more, heads = [], [], [], []
+        base, counts, more = [], [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             base.append(",".join(f"{k}:{a}:{b}" for a, b, k in spans))
             counts.append([sum(k == kind for *_, k in spans) for kind in KINDS])
             more.append(candidates(text or "", spans))
-            heads.append(sorted({w.lower() for w in WORD.findall((text or "")[:HEAD])}))
         columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), *columns, pa.array(more, pa.list_(struct)), pa.array(heads, pa.list_(pa.string()))], names=FOUND.names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), *columns, pa.array(more, pa.list_(struct))], names=FOUND.names)
 
 
 class Ordinary:
@@ -311,16 +310,21 @@ def finish(least: dict[tuple[str, int], int]):
     return report
 
 
+def ordinary_words(docs: DataFrame) -> list[str]:
+    """The words that most texts have, each text read to its end."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower)
+    counts = docs.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r.w for r in counts.orderBy(F.col("n").desc(), "w").limit(VOCABULARY).collect()]
+
+
 def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random of every row. The text is
-    read once; strata are at most encodings x bands of length x bins, words at most VOCABULARY."""
+    read once, and once more for its words if a stratum is small; strata are at most encodings x
+    bands of length x bins, words at most VOCABULARY."""
     found = materialize(docs.select("doc_id", "text").mapInArrow(scan, FOUND), "spans")
     rows = found.select(F.explode("candidates").alias("c")).groupBy("c.encoding", "c.band", "c.bin").agg(F.countDistinct("c.token").alias("n")).collect()
     counts: dict[tuple[str, int], dict[int, int]] = {}
     for r in rows:
         counts.setdefault((r.encoding, r.band), {})[r.bin] = r.n
-    vocabulary = []
-    if any(map(few, counts.values())):
-        words = found.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-        vocabulary = [r.w for r in words.orderBy(F.col("n").desc(), "w").limit(VOCABULARY).collect()]
-    return found.drop("words").mapInArrow(finish(thresholds(counts, alpha, vocabulary)), RESULT)
+    vocabulary = ordinary_words(docs) if any(map(few, counts.values())) else []
+    return found.mapInArrow(finish(thresholds(counts, alpha, vocabulary)), RESULT)

@@ -63,3 +63,14 @@ def test_what_base_spans_leave_is_tested():
             if len(text[a:b].rstrip("=")) >= secrets.LEAST and secrets.encoding(text[a:b].rstrip("=")):
                 want.add((a, b))
     assert {(c["start"], c["end"]) for c in secrets.candidates(text, spans)} == want and len(want) >= 3
+
+
+def test_ordinary_words_come_from_whole_texts(spark, monkeypatch):
+    """Words count wherever they stand in a text, once a text."""
+    seen, thresholds = [], secrets.thresholds
+    monkeypatch.setattr(secrets, "thresholds", lambda counts, alpha, words: seen.append(words) or thresholds(counts, alpha, words))
+    texts = [f"Quorvel zyxword {key(1, 'base62', 40)} tail tail", "ZYXWORD end", None, ""]
+    for lead in ("", "1 " * 5000):
+        d = spark.createDataFrame([(i, t and lead + t) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert [x.n_random for x in secrets.find(d).orderBy("doc_id").collect()] == [1, 0, 0, 0]
+    assert seen == [["zyxword", "end", "quorvel", "tail"]] * 2
